@@ -1 +1,311 @@
-"""Queries to come."""
+"""Roll-ups, duplicate groups, keywords, names and the saved reports."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import advanced, analytics as a, entities
+from ..operators.filters import ShipmentFilter
+from ..operators.mapping import counterparties
+from ..plans import saved
+from ..schema import DEDUPE_KEY, SHIPMENT_COLUMNS, col
+from .registry import add, query, rounded
+from .views import Views
+
+_KEY = ", ".join(f'"{k}"' for k in DEDUPE_KEY)
+_VOLUME = '''count(*) AS shipments, round(sum("Value"), 2) AS total_value,
+       round(sum("Quantity"), 2) AS total_quantity'''
+_SUMS = ("total_value", "total_quantity")
+
+
+@query("agg_count", '''SELECT count(*) AS total FROM shipments WHERE "Value" >= 30000''')
+def count(v: Views) -> DataFrame:
+    return a.count_rows(ShipmentFilter(min_value=30000).apply(v.shipments))
+
+
+_TOTALS = '''SELECT count(*) AS count, round(sum("Quantity"), 2) AS total_quantity,
+       round(sum("Value"), 2) AS total_value, round(avg("Unit Price USD"), 4) AS avg_unit_price_usd
+FROM shipments WHERE '''
+
+
+def _totals(v: Views, f: ShipmentFilter) -> DataFrame:
+    df = rounded(a.totals(f.apply(v.shipments)), *_SUMS)
+    return rounded(df, "avg_unit_price_usd", digits=4)
+
+
+@query("agg_totals", _TOTALS + "\"Importer\" ILIKE '%0001%'")
+def totals(v: Views) -> DataFrame:
+    return _totals(v, ShipmentFilter(importer="0001"))
+
+
+@query("agg_selection", _TOTALS + '''"HSN" ILIKE '3800010%' AND "Trade Type" = 'EXPORT' ''')
+def selection(v: Views) -> DataFrame:
+    return _totals(v, ShipmentFilter(hsn="3800010", trade_type="EXPORT"))
+
+
+def _top(party: str) -> None:
+    add(f"agg_top_{party.lower()}s", lambda v: rounded(a.top_parties(v.shipments, party), *_SUMS),
+        f'''SELECT "{party}" AS name, {_VOLUME} FROM shipments WHERE "{party}" IS NOT NULL
+GROUP BY 1 ORDER BY sum("Value") DESC NULLS LAST, name LIMIT 25''')
+
+
+for _party in ("Importer", "Exporter", "Supplier", "Buyer"):
+    _top(_party)
+
+
+@query("agg_party_universe", '''
+SELECT count(DISTINCT "Importer") AS total FROM shipments
+WHERE "Importer" IS NOT NULL AND "HS Chapter" = '29' ''')
+def universe(v: Views) -> DataFrame:
+    return a.party_universe(ShipmentFilter(hs_chapter="29").apply(v.shipments), "Importer")
+
+
+_MONTH = "CAST(date_trunc('month', \"Date\") AS DATE) AS month"
+
+add("agg_monthly", lambda v: rounded(a.monthly(v.shipments), *_SUMS),
+    f'SELECT {_MONTH}, {_VOLUME} FROM shipments WHERE "Date" IS NOT NULL GROUP BY 1')
+
+
+def _monthly(name: str, key: str) -> None:
+    add(f"agg_monthly_by_{name}",
+        lambda v: rounded(a.monthly(v.shipments, [key, "Port"]), *_SUMS),
+        f'''SELECT {_MONTH}, "{key}", {_VOLUME} FROM shipments WHERE "Date" IS NOT NULL
+GROUP BY 1, 2''')
+
+
+for _name, _key in (("trade_type", "Trade Type"), ("hs_chapter", "HS Chapter"),
+                    ("origin", "Origin Country"), ("destination", "Destination Country")):
+    _monthly(_name, _key)
+
+_COUNTRY = '''SELECT coalesce("Origin Country", "Destination Country", "Country") AS country,
+       "Trade Type" AS trade_type, {volume},
+       count(DISTINCT "Importer") AS unique_importers, count(DISTINCT "Exporter") AS unique_exporters
+FROM shipments GROUP BY 1, 2 ORDER BY sum("Value") DESC NULLS LAST, country, trade_type LIMIT 50'''
+
+
+@query("agg_country", _COUNTRY.replace("{volume}", _VOLUME))
+def country(v: Views) -> DataFrame:
+    return rounded(a.by_country(v.shipments), *_SUMS)
+
+
+@query("agg_country_counterparty", _COUNTRY.replace("{volume}", _VOLUME).replace(
+    'coalesce("Origin Country", "Destination Country", "Country")', '"Country"'))
+def counterparty_country(v: Views) -> DataFrame:
+    return rounded(a.by_country(v.shipments, counterparty=True), *_SUMS)
+
+
+@query("agg_heat_intensity", f'''
+WITH c AS ({_COUNTRY.replace("{volume}", 'count(*) AS shipments, sum("Value") AS total_value')})
+SELECT country, trade_type,
+       round(least(1.0, pow(total_value / (SELECT max(total_value) FROM c), 0.7)), 6) AS intensity
+FROM c''')
+def heat(v: Views) -> DataFrame:
+    df = a.heat(a.by_country(v.shipments)).select("country", "trade_type", "intensity")
+    return rounded(df, "intensity", digits=6)
+
+
+@query("agg_hsn", f'''
+SELECT "HSN" AS hsn, max("HS Chapter") AS hs_chapter, max("Trade Type") AS trade_type, {_VOLUME},
+       max(CASE WHEN "Importer" IS NOT NULL AND "Value" IS NOT NULL
+           THEN {{'v': "Value", 'n': "Importer"}} END).n AS top_importer,
+       max(CASE WHEN "Exporter" IS NOT NULL AND "Value" IS NOT NULL
+           THEN {{'v': "Value", 'n': "Exporter"}} END).n AS top_exporter
+FROM shipments WHERE "HSN" IS NOT NULL GROUP BY 1
+ORDER BY sum("Value") DESC NULLS LAST, hsn LIMIT 50''')
+def hsn(v: Views) -> DataFrame:
+    return rounded(a.by_hsn(v.shipments), *_SUMS)
+
+
+@query("agg_duplicates", f'''
+SELECT {_KEY}, count(*) AS occurrences,
+       array_to_string(list_sort(list_distinct(list("Source File"))), '|') AS source_files
+FROM repeated GROUP BY {_KEY} HAVING count(*) >= 2
+ORDER BY occurrences DESC, {", ".join(f'"{k}" ASC NULLS LAST' for k in DEDUPE_KEY)} LIMIT 100''')
+def duplicates(v: Views) -> DataFrame:
+    return advanced.duplicates(v["repeated"]).withColumn(
+        "source_files", F.array_join("source_files", "|"))
+
+
+_SUPPLIERS = '''WITH s AS (SELECT "Supplier" AS supplier, count(*) AS shipments,
+  sum("Value") AS total_value FROM shipments WHERE "Importer" ILIKE '%customer#00000001%' GROUP BY 1)
+'''
+
+
+def _shares_sql(whole: str) -> str:
+    return _SUPPLIERS + f'''SELECT supplier, shipments, round(total_value, 2) AS total_value,
+  round(CASE WHEN supplier IS NULL THEN 0 ELSE coalesce(total_value, 0) / ({whole}) * 100 END, 6)
+    AS share_pct
+FROM s ORDER BY coalesce(total_value, 0) DESC, supplier NULLS LAST LIMIT 10'''
+
+
+def _shares(v: Views) -> DataFrame:
+    df = rounded(advanced.supplier_shares(v.shipments, "customer#00000001"), "total_value")
+    return rounded(df, "share_pct", digits=6)
+
+
+add("agg_supplier_shares", _shares, _shares_sql("SELECT sum(total_value) FROM s"))
+add("win_share_of_total", _shares, _SUPPLIERS + '''
+SELECT supplier, shipments, round(total_value, 2) AS total_value,
+  round(coalesce(total_value, 0) / whole * 100, 6) AS share_pct
+FROM (SELECT *, sum(total_value) OVER () AS whole FROM s)
+ORDER BY coalesce(total_value, 0) DESC, supplier NULLS LAST LIMIT 10''')
+
+
+@query("agg_hhi", _SUPPLIERS + '''
+SELECT count(supplier) AS total_suppliers, round(sum(total_value), 2) AS total_value,
+  round(sum(CASE WHEN supplier IS NOT NULL THEN pow(coalesce(total_value, 0)
+    / (SELECT sum(total_value) FROM s) * 100, 2) END), 6) AS hhi FROM s''')
+def hhi(v: Views) -> DataFrame:
+    df = rounded(advanced.concentration(v.shipments, "customer#00000001"), "total_value")
+    return rounded(df, "hhi", digits=6)
+
+
+_STOP = ", ".join("'" + w + "'" for w in advanced.STOPWORDS)
+_WORDS = '''WITH w AS (SELECT unnest(regexp_extract_all(lower("Product Description"),
+  '[a-zA-Z][a-zA-Z\\-]+')) AS keyword FROM {view}),
+c AS (SELECT keyword, count(*) AS occurrences FROM w
+  WHERE length(keyword) >= 3 AND keyword NOT IN ({stop}) GROUP BY 1)
+'''
+
+
+def _words_sql(view: str) -> str:
+    return _WORDS.replace("{view}", view).replace("{stop}", _STOP)
+
+
+add("agg_keywords", lambda v: advanced.keywords(v["texts"]),
+    _words_sql("texts") + "SELECT * FROM c ORDER BY occurrences DESC, keyword LIMIT 50")
+add("agg_keywords_shipments", lambda v: advanced.keywords(v.shipments),
+    _words_sql("shipments") + "SELECT * FROM c ORDER BY occurrences DESC, keyword LIMIT 50")
+add("agg_keyword_total", lambda v: advanced.keyword_total(v["texts"]),
+    _words_sql("texts") + "SELECT count(*) AS total_keywords FROM c")
+
+
+@query("agg_dataset_stats", '''
+SELECT count(*) AS total_rows, min("Date") AS date_min, max("Date") AS date_max,
+       count(DISTINCT "Importer") AS distinct_importers,
+       count(DISTINCT "Exporter") AS distinct_exporters,
+       count(DISTINCT "Supplier") AS distinct_suppliers, count(DISTINCT "HSN") AS distinct_hsn,
+       count(DISTINCT coalesce("Origin Country", "Destination Country")) AS distinct_countries
+FROM shipments''')
+def stats(v: Views) -> DataFrame:
+    return a.dataset_stats(v.shipments)
+
+
+def _counts(name: str, column: str) -> None:
+    add(name, lambda v: a.counts_by(v.shipments, column),
+        f'''SELECT coalesce(nullif("{column}", ''), 'unknown') AS name, count(*) AS count
+FROM shipments GROUP BY 1''')
+
+
+_counts("agg_by_trade_type", "Trade Type")
+_counts("agg_by_chapter", "HS Chapter")
+_counts("agg_by_mode", "Mode")
+
+
+@query("agg_market_coverage", '''
+SELECT coalesce("Reporting Country", 'unknown') AS reporting_country, count(*) AS rows,
+       min("Date") AS date_min, max("Date") AS date_max FROM shipments GROUP BY 1''')
+def coverage(v: Views) -> DataFrame:
+    return a.market_coverage(v.shipments)
+
+
+@query("agg_entity_counts", '''
+SELECT "Buyer" AS name, count(*) AS shipments FROM shipments WHERE "Buyer" IS NOT NULL GROUP BY 1''')
+def entity_counts(v: Views) -> DataFrame:
+    return entities.entity_counts(v.shipments, "Buyer")
+
+
+@query("agg_trend_pivot", f'''
+SELECT {_MONTH}, round(sum(CASE WHEN "Trade Type" = 'EXPORT' THEN "Value" END), 2) AS "EXPORT",
+       round(sum(CASE WHEN "Trade Type" = 'IMPORT' THEN "Value" END), 2) AS "IMPORT"
+FROM shipments WHERE "Date" IS NOT NULL GROUP BY 1''')
+def pivot(v: Views) -> DataFrame:
+    return rounded(a.trend_pivot(v.shipments, "Trade Type"), "EXPORT", "IMPORT")
+
+
+_MONTHS = f'''WITH m AS (SELECT {_MONTH}, coalesce(sum("Value"), 0) AS value
+  FROM shipments WHERE "Date" IS NOT NULL GROUP BY 1),
+w AS (SELECT *, lag(value) OVER (ORDER BY month) AS previous FROM m)
+SELECT month, round(value, 2) AS value, round(previous, 2) AS previous_value,
+       round(CASE WHEN previous <> 0 THEN (value - previous) / previous * 100 END, 6) AS change_pct
+FROM w'''
+
+
+def _change(df: DataFrame) -> DataFrame:
+    return rounded(rounded(df, "value", "previous_value"), "change_pct", digits=6)
+
+
+add("agg_mom_change", lambda v: _change(a.month_change(v.shipments)),
+    _MONTHS + " ORDER BY month DESC LIMIT 1")
+add("win_mom", lambda v: _change(a.month_changes(v.shipments)), _MONTHS)
+
+
+@query("map_counterparty", '''
+SELECT "BE/SB Number" AS id, coalesce("Importer", "Buyer") AS buyer_side,
+       coalesce("Supplier", "Exporter") AS seller_side FROM shipments''')
+def sides(v: Views) -> DataFrame:
+    return counterparties(v.shipments).select(
+        F.col("BE/SB Number").alias("id"), F.col("Buyer Side").alias("buyer_side"),
+        F.col("Seller Side").alias("seller_side"))
+
+
+@query("map_list_projection", "SELECT " + ", ".join(f'"{c}"' for c in SHIPMENT_COLUMNS)
+       + " FROM repeated")
+def projection(v: Views) -> DataFrame:
+    return v["repeated"].select(*map(col, SHIPMENT_COLUMNS))
+
+
+@query("txt_suggest", '''
+SELECT DISTINCT "Supplier" AS name FROM shipments WHERE "Supplier" ILIKE '%000004%'
+ORDER BY CASE WHEN name ILIKE '000004%' THEN 0 ELSE 1 END, name LIMIT 10''')
+def suggest(v: Views) -> DataFrame:
+    return entities.suggest(v.shipments, "Supplier", "000004")
+
+
+@query("txt_suggest_prefix", '''
+SELECT DISTINCT "Importer" AS name FROM shipments WHERE "Importer" ILIKE '%customer#0000000%'
+ORDER BY name LIMIT 10''')
+def suggest_prefix(v: Views) -> DataFrame:
+    return entities.suggest(v.shipments, "Importer", "customer#0000000")
+
+
+@query("txt_similar")
+def similar(v: Views) -> DataFrame:
+    return entities.similar(entities.entity_counts(v.shipments, "Importer"), "Custmer#000000042")
+
+
+# The saved reports.
+
+add("ex_1", lambda v: saved.by_importer(v.shipments, "00007"), '''
+SELECT "Date", "Importer", "Supplier", "Origin Country", "HSN", "Quantity", "Unit", "Value",
+       "Currency", "Source File" FROM shipments WHERE "Importer" ILIKE '%00007%'
+ORDER BY "Date" DESC NULLS LAST, "Importer" NULLS LAST, "Supplier" NULLS LAST,
+  "Origin Country" NULLS LAST, "HSN" NULLS LAST, "Quantity" NULLS LAST, "Unit" NULLS LAST,
+  "Value" NULLS LAST, "Currency" NULLS LAST, "Source File" NULLS LAST LIMIT 50''')
+add("ex_2", lambda v: saved.by_code(v.shipments, "38000017"), '''
+SELECT "Date", "Trade Type", "Importer", "Exporter", "Supplier", "Buyer", "Origin Country",
+       "Destination Country", "Value" FROM shipments WHERE "HSN" = '38000017'
+ORDER BY "Date" DESC NULLS LAST, "Trade Type" NULLS LAST, "Importer" NULLS LAST,
+  "Exporter" NULLS LAST, "Supplier" NULLS LAST, "Buyer" NULLS LAST, "Origin Country" NULLS LAST,
+  "Destination Country" NULLS LAST, "Value" NULLS LAST LIMIT 100''')
+add("ex_3", lambda v: saved.by_supplier(v.shipments, "0000005"), '''
+SELECT "Date", "Importer", "Supplier", "Origin Country", "Product Description", "Quantity", "Value"
+FROM shipments WHERE "Supplier" ILIKE '%0000005%' ''')
+add("ex_4", lambda v: rounded(saved.country_volume(v.shipments), *_SUMS), f'''
+SELECT "HS Chapter", "Trade Type", coalesce("Origin Country", "Destination Country")
+       AS counterparty_country, {_VOLUME} FROM shipments GROUP BY 1, 2, 3
+ORDER BY sum("Value") DESC NULLS LAST, 1, 2, 3 LIMIT 100''')
+for _n, _party, _trade in ((5, "Importer", "IMPORT"), (6, "Exporter", "EXPORT")):
+    add(f"ex_{_n}",
+        lambda v, p=_party, t=_trade: rounded(saved.top_party(v.shipments, p, t), "total_value"), f'''
+SELECT "{_party}", count(*) AS shipments, round(sum("Value"), 2) AS total_value FROM shipments
+WHERE "Trade Type" = '{_trade}' AND "{_party}" IS NOT NULL GROUP BY 1
+ORDER BY sum("Value") DESC NULLS LAST, 1 LIMIT 20''')
+add("ex_7", lambda v: saved.monthly_counts(v.shipments), f'''
+SELECT {_MONTH}, "HS Chapter", "Trade Type", count(*) AS shipments FROM shipments
+WHERE "Date" IS NOT NULL GROUP BY 1, 2, 3''')
+add("ex_8", lambda v: saved.recent_suppliers(v.shipments, "000001", date(1999, 1, 1)), '''
+SELECT DISTINCT "Supplier", "Origin Country" FROM shipments
+WHERE "Importer" ILIKE '%000001%' AND "Date" >= DATE '1999-01-01' ''')

@@ -261,7 +261,7 @@ FROM {registered} WHERE nation < 13''',
 SELECT 'EC-' || CAST(id AS STRING) || '-' || CAST(nation AS STRING) AS "N° de Registro",
   p_name AS "Nombre Comercial",
   'Ingrediente activo  ' || CASE p_size % 4 WHEN 0 THEN 'MANCOZEB 80 %'
-    WHEN 1 THEN 'cymoxanilo 8 %, Ingrediente Activo MANCOZEB 64 %'
+    WHEN 1 THEN 'cimoxanilo 8 %, Ingrediente Activo MANCOZEB 64 %'
     WHEN 2 THEN 'Aditivo de importancia toxicológica nafta' ELSE p_brand END || ' ,'
     AS "Composición de Producto",
   'Fábrica ' || p_brand AS "Fabricante / Formulador",

@@ -56,9 +56,10 @@ def trend_pivot(df: DataFrame, key: str, values: list[str] | None = None) -> Dat
     """Value by month with one column per series; a missing key is the series ``—``."""
     if key not in TREND_KEYS:
         raise ValueError(f"key must be one of {TREND_KEYS}")
-    dated = df.filter(F.col("Date").isNotNull())
-    return (dated.groupBy(F.trunc("Date", "MM").alias("month"))
-            .pivot(F.coalesce(col(key), F.lit("—")), values).agg(F.sum("Value"))
+    dated = (df.filter(F.col("Date").isNotNull())
+             .select(F.trunc("Date", "MM").alias("month"), "Value",
+                     F.coalesce(col(key), F.lit("—")).alias("series")))
+    return (dated.groupBy("month").pivot("series", values).agg(F.sum("Value"))
             .orderBy("month"))
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..schema import col
 
@@ -27,7 +28,7 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
             .option("pathGlobFilter", f"*.{{{kinds}}}").load(folder)
-            .select("path", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("name"),
+            .select("path", name.alias("name"),
                     F.lower(F.element_at(F.split("path", r"\."), -1)).alias("suffix"), "length")
             .filter(~F.col("name").startswith(LOCK_PREFIX))
             .orderBy(F.lower("name"), "path"))
@@ -37,6 +38,17 @@ def first_files(files: DataFrame, n: int) -> DataFrame:
     return files.orderBy(F.lower("name"), "path").limit(n)
 
 
+def literal_path(path: str) -> str:
+    """A listed path as a reader takes it: characters of a pattern stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def file_name() -> Column:
+    """Name of each row's file. The metadata column holds it in URL form."""
+    encoded = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(encoded)
+
+
 def _unique(headers: Iterable[str]) -> list[str]:
     """Headers made unique for Spark, which ignores case; the added marks do not count
     when headers are normalised."""
@@ -91,7 +103,7 @@ def group_by_header(spark: SparkSession, files: list[tuple[str, str]], threads:
     one per file. The header is metadata; nothing else of a file is read here.
     """
     def header(item: tuple[str, str]) -> tuple[str, ...] | Exception:
-        path, suffix = item
+        path, suffix = literal_path(item[0]), item[1]
         try:
             if suffix == "csv":
                 return csv_header(spark, path)
@@ -107,7 +119,7 @@ def group_by_header(spark: SparkSession, files: list[tuple[str, str]], threads:
         if isinstance(result, Exception):
             failed[path] = f"{type(result).__name__}: {str(result).splitlines()[0]}"
         else:
-            groups.setdefault((suffix, result), []).append(path)
+            groups.setdefault((suffix, result), []).append(literal_path(path))
     return groups, failed
 
 
@@ -117,11 +129,11 @@ def read_group(spark: SparkSession, suffix: str, header: tuple[str, ...], paths:
     if suffix == "csv":
         df = read_csv(spark, paths, header, multi_line)
         names = df.columns
-        return df.select("*", F.col("_metadata.file_name").alias("_file")), names
+        return df.select("*", file_name().alias("_file")), names
     df = spark.read.parquet(*paths)
     names = df.columns
     return df.select(*(col(c).cast("string").alias(c) for c in names),
-                     F.col("_metadata.file_name").alias("_file")), names
+                     file_name().alias("_file")), names
 
 
 def union_parts(parts: dict[str, DataFrame]) -> DataFrame:

@@ -20,7 +20,7 @@ def write_shards(df: DataFrame, path: str) -> None:
     rows and join the small ones, so files come out even. Inside a file the rows are in
     order of date and code, which lets a scan skip row groups.
     """
-    (df.hint("rebalance", PARTITION).sortWithinPartitions(PARTITION, "Date", "HSN")
+    (df.hint("rebalance", col(PARTITION)).sortWithinPartitions(PARTITION, "Date", "HSN")
      .write.mode("overwrite").option("compression", "zstd").partitionBy(PARTITION).parquet(path))
 
 
@@ -37,7 +37,9 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with a header; NULL is an empty cell."""
     out = df.coalesce(1) if single_file else df
     (out.write.mode("overwrite").option("header", "true").option("nullValue", "")
-     .option("emptyValue", "").option("escape", '"').csv(path))
+     .option("emptyValue", "").option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+     .csv(path))
 
 
 def write_sample(df: DataFrame, path: str, rows: int = 1000) -> None:
@@ -47,7 +49,7 @@ def write_sample(df: DataFrame, path: str, rows: int = 1000) -> None:
 
 def write_by_direction(df: DataFrame, path: str) -> None:
     """Parquet split by trade type."""
-    (df.hint("rebalance", "Trade Type").write.mode("overwrite").option("compression", "zstd")
+    (df.hint("rebalance", col("Trade Type")).write.mode("overwrite").option("compression", "zstd")
      .partitionBy("Trade Type").parquet(path))
 
 
