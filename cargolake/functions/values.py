@@ -57,26 +57,24 @@ def date(c: Column) -> Column:
 
     ``yyyyMM`` (first of the month), ISO with or without a time, day-first with ``-`` or
     ``/`` and an optional time, year-first with ``-`` or ``/``, and ``dd-Mon-yyyy`` or
-    ``dd Mon yyyy``. A format is only tried on text of its shape, so failed parses, which
-    are slow, stay rare.
+    ``dd Mon yyyy``. Each step rewrites the text once, so the expression stays small
+    enough for generated code; month names are only looked at when all else failed.
     """
     s = clean_text(c)
-    day_first = r"^([0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{4})[ T][0-9]{1,2}:[0-9]{2}"
-    iso = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?$"
-    body = F.when(s.rlike(day_first), F.regexp_extract(s, day_first, 1)).otherwise(s)
-    parsed = (F.when(s.rlike("^[0-9]{6}$"), F.try_to_date(s, "yyyyMM"))
-              .when(s.rlike(iso), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd")))
-    for shape, pattern in (
-        ("^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "d-M-yyyy"),
-        ("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "d/M/yyyy"),
-        ("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "yyyy-M-d"),
-        ("^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
-        ("(?i)^[0-9]{1,2}-[a-z]{3}-[0-9]{4}$", "d-MMM-yyyy"),
+    plain = s
+    for shape, form in (
+        (r"^([0-9]{4})([0-9]{2})$", "$1-$2-1"),
+        (r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?$", "$1"),
+        (r"(?s)^([0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{4})[ T][0-9]{1,2}:[0-9]{2}.*$", "$1"),
+        (r"^([0-9]{1,2})([-/])([0-9]{1,2})\2([0-9]{4})$", "$4-$3-$1"),
+        (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", "$1-$2-$3"),
     ):
-        parsed = parsed.when(body.rlike(shape), F.try_to_date(body, pattern))
-    spaced = r"(?i)^[0-9]{1,2}\s+[a-z]{3}\s+[0-9]{4}$"
-    return parsed.when(body.rlike(spaced),
-                       F.try_to_date(F.regexp_replace(body, r"\s+", " "), "d MMM yyyy"))
+        plain = F.regexp_replace(plain, shape, form)
+    numeric = F.regexp_extract(plain, r"^((?!0000)[0-9]{4}-[0-9]{1,2}-[0-9]{1,2})$", 1)
+    named = F.regexp_replace(s, r"^([0-9]{1,2})\s+([A-Za-z]{3})\s+([0-9]{4})$", "$1-$2-$3")
+    by_name = F.when(named.rlike("^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$"),
+                     F.try_to_date(named, "d-MMM-yyyy"))
+    return F.coalesce(numeric.try_cast("date"), by_name)
 
 
 def country(c: Column) -> Column:

@@ -118,27 +118,29 @@ def heat(countries: DataFrame) -> DataFrame:
 def by_hsn(df: DataFrame, limit: int = 50) -> DataFrame:
     """Volume by product code with the importer and exporter of the largest single value.
 
-    Rows are first combined by code and parties, where every aggregate is numeric and
-    hashes; only that smaller set feeds the aggregates over texts. Ties between parties go
-    to the later name.
+    The codes are ranked on sums, which combine in hash maps before the shuffle. Texts are
+    only compared for the at most ``limit`` codes reported: that many rows are broadcast
+    and the other rows leave before the second shuffle. Ties between parties go to the
+    later name.
     """
-    keys = ("HSN", "HS Chapter", "Trade Type", "Importer", "Exporter")
-    pairs = (df.filter(F.col("HSN").isNotNull()).groupBy(*map(col, keys))
-             .agg(*_volume(), F.max("Value").alias("largest")))
+    order = [F.col("total_value").desc_nulls_last(), "hsn"]
+    ranked = (df.filter(F.col("HSN").isNotNull()).groupBy(F.col("HSN").alias("hsn"))
+              .agg(*_volume()).orderBy(*order).limit(limit))
 
     def biggest(party: str) -> Column:
-        ranked = F.when(col(party).isNotNull() & F.col("largest").isNotNull(),
-                        F.struct("largest", col(party).alias("name")))
-        return F.max(ranked)["name"]
-
-    return (pairs.groupBy(F.col("HSN").alias("hsn"))
+        pair = F.when(col(party).isNotNull() & F.col("Value").isNotNull(),
+                      F.struct("Value", col(party).alias("name")))
+        return F.max(pair)["name"]
+
+    volume = [F.col(c) for c in ("shipments", "total_value", "total_quantity")]
+    keyed = df.select("HSN", "HS Chapter", "Trade Type", "Importer", "Exporter", "Value")
+    return (keyed.join(F.broadcast(ranked.withColumnRenamed("hsn", "_hsn")),
+                       F.col("HSN") == F.col("_hsn"))
+            .groupBy(F.col("_hsn").alias("hsn"), *volume)
             .agg(F.max("HS Chapter").alias("hs_chapter"), F.max("Trade Type").alias("trade_type"),
-                 F.sum("shipments").alias("shipments"),
-                 F.sum("total_value").alias("total_value"),
-                 F.sum("total_quantity").alias("total_quantity"),
                  biggest("Importer").alias("top_importer"),
                  biggest("Exporter").alias("top_exporter"))
-            .orderBy(F.col("total_value").desc_nulls_last(), "hsn").limit(limit))
+            .orderBy(*order))
 
 
 def dataset_stats(df: DataFrame) -> DataFrame:

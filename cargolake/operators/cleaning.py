@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.text import blank_to_null, clean_text, squash, strip
 from ..functions.values import chapter_of, country, date, hsn, number
@@ -58,8 +58,13 @@ def drop_empty(df: DataFrame, stamped: tuple[str, ...] = STAMPED_COLUMNS) -> Dat
     Reporting Country is always filled, so the default keeps nearly every row; pass
     ``ALL_STAMPED_COLUMNS`` to drop the rows that hold nothing of their own.
     """
+    told = _told(df, stamped)
+    return df if told is None else df.filter(told)
+
+
+def _told(df: DataFrame, stamped: tuple[str, ...]) -> Column | None:
     telling = [col(c).isNotNull() for c in df.columns if c not in stamped]
-    return df.filter(reduce(or_, telling)) if telling else df
+    return reduce(or_, telling) if telling else None
 
 
 def drop_repeats(df: DataFrame) -> DataFrame:
@@ -71,7 +76,19 @@ def clean(df: DataFrame, stamped: tuple[str, ...] = STAMPED_COLUMNS) -> DataFram
     for step in (trim_and_nullify, normalise_hsn, fill_chapter, normalise_countries,
                  upper_codes, parse_dates, parse_numbers):
         df = step(df)
-    return drop_repeats(drop_empty(df, stamped))
+    return drop_repeats_and_empty(df, stamped)
+
+
+def drop_repeats_and_empty(df: DataFrame, stamped: tuple[str, ...]) -> DataFrame:
+    """Both at once. As an aggregate of the grouping the emptiness test stays above the
+    rules that made the columns; a filter would be pushed below them and repeat them all.
+    """
+    told = _told(df, stamped)
+    if told is None:
+        return drop_repeats(df)
+    names = df.columns
+    return (df.withColumn("_told", told).groupBy(*map(col, names))
+            .agg(F.max("_told").alias("_told")).filter("_told").select(*map(col, names)))
 
 
 def dedupe_across_files(df: DataFrame, key: tuple[str, ...] = DEDUPE_KEY) -> DataFrame:

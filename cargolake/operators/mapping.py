@@ -181,19 +181,20 @@ def consolidate(df: DataFrame) -> DataFrame:
         return F.when(export, on_export).when(imported, on_import).otherwise(F.col(name))
 
     nothing = F.lit(None).cast("string")
-    outbound = F.coalesce(*map(foreign, ("Destination Country", "Country", "Origin Country")))
-    inbound = F.coalesce(*map(foreign, ("Origin Country", "Country", "Destination Country")))
-    return df.withColumns({
-        "Origin Country": by_direction("Origin Country", home, inbound),
-        "Destination Country": by_direction("Destination Country", outbound, home),
-        "Country": by_direction("Country", outbound, inbound),
+    places = ("Destination Country", "Country", "Origin Country")
+    partner = F.when(export, F.coalesce(*map(foreign, places))).when(
+        imported, F.coalesce(*map(foreign, reversed(places))))
+    return df.withColumn("_partner", partner).withColumns({
+        "Origin Country": by_direction("Origin Country", home, F.col("_partner")),
+        "Destination Country": by_direction("Destination Country", F.col("_partner"), home),
+        "Country": by_direction("Country", F.col("_partner"), F.col("_partner")),
         "Importer": by_direction("Importer", nothing,
                                  F.coalesce(stated("Importer"), stated("Buyer"))),
         "Exporter": by_direction("Exporter", F.col("Exporter"), nothing),
         "Supplier": by_direction("Supplier", nothing,
                                  F.coalesce(stated("Supplier"), stated("Exporter"))),
         "Buyer": by_direction("Buyer", F.coalesce(stated("Buyer"), stated("Importer")), nothing),
-    })
+    }).drop("_partner")
 
 
 def map_feed(feed: DataFrame, file_name: Column, rules: HeaderRules | None = None,

@@ -40,8 +40,8 @@ def build_shipments(spark: SparkSession, source: str, target: str,
         counts.append(raw.groupBy(F.col("_file").alias("file")).agg(F.count("*").alias("rows_in")))
 
     cleaned = clean(reduce(DataFrame.unionByName, mapped), stamped)
-    writers.write_shards(cleaned, f"{target}/shards")
-    shards = writers.read_table(spark, f"{target}/shards")
+    writers.write_stage(cleaned, f"{target}/shards")
+    shards = spark.read.parquet(f"{target}/shards")
 
     table = dedupe_across_files(shards)
     writers.write_shards(add_search_columns(table) if search_columns else table,

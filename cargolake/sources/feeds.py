@@ -22,7 +22,8 @@ JUNK_PARTS = ("sheet2", "sheet3", "sheet4", "readme", "notes", "info")
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Path, name, suffix and size of every supported file below a folder, by name.
 
-    Only the file listing is used; no content is read.
+    Only the file listing is used; no content is read. Spark leaves out files without any
+    content and those whose name starts with ``_`` or ``.``.
     """
     kinds = ",".join("".join(f"[{c}{c.upper()}]" for c in s) for s in SUFFIXES)
     name = F.element_at(F.split("path", "/"), -1)

@@ -13,8 +13,13 @@ PARTITION = "Reporting Country"
 BOM = "\ufeff"
 
 
+def write_stage(df: DataFrame, path: str) -> None:
+    """Rows between two stages as zstd Parquet, as the last shuffle left them."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
 def write_shards(df: DataFrame, path: str) -> None:
-    """Cleaned rows as zstd Parquet, one folder per reporting country.
+    """Shipments as zstd Parquet, one folder per reporting country.
 
     Rebalancing lets adaptive execution split a country that holds a large part of the
     rows and join the small ones, so files come out even. Inside a file the rows are in
