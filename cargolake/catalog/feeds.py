@@ -459,21 +459,30 @@ def run_summary(v: Views) -> DataFrame:
         *(col(c).cast("string").alias(c) for c in raw.columns))))
 
 
+def _write_named(raw: DataFrame, target: str, work: str) -> None:
+    """CSV files that bear the names in ``file_name``: written by folder, then moved.
+
+    Large names come in several files, each in a folder of its own.
+    """
+    (raw.write.option("header", "true").option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+     .partitionBy("file_name").csv(work))
+    spark = raw.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(work).getFileSystem(spark._jsc.hadoopConfiguration())
+    written = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(work)
+               .select("path").collect())
+    for i, row in enumerate(written):
+        name = row["path"].split("/")[-2].removeprefix("file_name=")
+        system.mkdirs(path(f"{target}/{i}"))
+        system.rename(path(row["path"]), path(f"{target}/{i}/{name}"))
+
+
 @query("build_shipments", '''
 WITH e AS (SELECT "SB No" AS id, file_name FROM raw_export UNION ALL SELECT "BE_NO", file_name FROM raw_import)
 SELECT file_name AS file, true AS success, count(*) AS rows_in, NULL::VARCHAR AS error FROM e GROUP BY 1''')
 def build(v: Views) -> DataFrame:
     source, target = scratch(v.spark, "feeds"), scratch(v.spark, "built")
-    fs = v.spark._jvm.org.apache.hadoop.fs
-    conf = v.spark._jsc.hadoopConfiguration()
     for name in ("raw_import", "raw_export"):
-        raw = v[name]
-        for row in raw.select("file_name").distinct().collect():
-            part = f"{source}/{name}/part"
-            writers.write_csv(raw.filter(F.col("file_name") == row[0]).drop("file_name"), part, True)
-            root = fs.Path(part)
-            system = root.getFileSystem(conf)
-            found = [s.getPath() for s in system.listStatus(root) if s.getPath().getName().endswith(".csv")]
-            system.rename(found[0], fs.Path(f"{source}/{name}", row[0]))
-            system.delete(root, True)
+        _write_named(v[name], f"{source}/{name}", scratch(v.spark, "unnamed"))
     return build_shipments(v.spark, source, target, ports=v["ports"]).drop("rows_out")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import contains
 from ..schema import DEDUPE_KEY, col
-from .paging import sample_rows
+from .paging import sample_rows, small_side
 
 # Words that say nothing about a product.
 STOPWORDS = (
@@ -40,7 +40,7 @@ def duplicates(df: DataFrame, min_occurrences: int = 2, limit: int = 100,
               .filter(F.col("occurrences") >= min_occurrences).orderBy(*order).limit(limit))
     wanted = groups.select("occurrences", *(col(c).alias(f"_{i}") for i, c in enumerate(key)))
     same = reduce(and_, (col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(key)))
-    found = (df.select(*names, "Source File").join(F.broadcast(wanted), same)
+    found = (df.select(*names, "Source File").join(small_side(wanted, limit), same)
              .select(*names, "occurrences", "Source File").distinct())
     return (found.groupBy(*names, "occurrences")
             .agg(F.sort_array(F.collect_set("Source File")).alias("source_files"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import PARTY_COLUMNS, col
+from .paging import small_side
 
 TREND_KEYS = ("Trade Type", "HS Chapter", "Origin Country", "Destination Country")
 
@@ -134,7 +135,7 @@ def by_hsn(df: DataFrame, limit: int = 50) -> DataFrame:
 
     volume = [F.col(c) for c in ("shipments", "total_value", "total_quantity")]
     keyed = df.select("HSN", "HS Chapter", "Trade Type", "Importer", "Exporter", "Value")
-    return (keyed.join(F.broadcast(ranked.withColumnRenamed("hsn", "_hsn")),
+    return (keyed.join(small_side(ranked.withColumnRenamed("hsn", "_hsn"), limit),
                        F.col("HSN") == F.col("_hsn"))
             .groupBy(F.col("_hsn").alias("hsn"), *volume)
             .agg(F.max("HS Chapter").alias("hs_chapter"), F.max("Trade Type").alias("trade_type"),

@@ -18,6 +18,15 @@ USER_EXPORT_CAP = 50
 DIRECT_CAP = 10_000
 
 
+# A ranked result of up to this many rows is small enough to send to every task.
+BROADCAST_ROWS = 10_000
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """A frame limited to ``rows``, broadcast when that bound is small enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def ordering(columns: Iterable[str], sort_by: str, sort_order: str = "desc") -> list[Column]:
     """The sort column with NULLs last, then every other column so that ties are settled."""
     first = col(sort_by).asc_nulls_last() if sort_order == "asc" else col(sort_by).desc_nulls_last()
@@ -38,17 +47,39 @@ def page_meta(df: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
                   F.ceil(total / F.lit(size)).alias("total_pages"))
 
 
+def narrowed(df: DataFrame, sort_by: str, sort_order: str, rows: int) -> DataFrame:
+    """Only rows that reach the value of the last wanted row in the sort column.
+
+    Finding that value reads the filter and sort columns alone. As a literal it then reaches
+    the Parquet statistics, so a page by date skips the row groups of other dates instead of
+    reading every column of every row. Nothing is cut when fewer rows have a value.
+    """
+    key = col(sort_by)
+    order = key.asc_nulls_last() if sort_order == "asc" else key.desc_nulls_last()
+    last = F.max(key) if sort_order == "asc" else F.min(key)
+    found = (df.select(key).orderBy(order).limit(rows)
+             .agg(F.count(key).alias("n"), last.alias("last")).first())
+    if found["n"] < rows:
+        return df
+    return df.filter(key <= F.lit(found["last"]) if sort_order == "asc"
+                     else key >= F.lit(found["last"]))
+
+
 def list_shipments(df: DataFrame, f: ShipmentFilter) -> DataFrame:
-    rows = f.apply(df).select(*map(col, SHIPMENT_COLUMNS))
-    return page(rows, f.sort_by or "Date", f.sort_order, f.page, f.page_size)
+    return _shipment_page(f.apply(df), f.sort_by or "Date", f.sort_order, f.page, f.page_size)
+
+
+def _shipment_page(df: DataFrame, sort_by: str, sort_order: str, number: int, size: int) -> DataFrame:
+    rows = narrowed(df, sort_by, sort_order, number * size).select(*map(col, SHIPMENT_COLUMNS))
+    return page(rows, sort_by, sort_order, number, size)
 
 
 def list_by_tree(df: DataFrame, root: Group | None, sort_by: str | None = None,
                  sort_order: str = "desc", number: int = 1, size: int = 50) -> DataFrame:
     if sort_by and sort_by not in SORT_FIELDS:
         raise PredicateError(f"sort_by must be one of {sorted(SORT_FIELDS)}")
-    rows = apply_tree(df, root).select(*map(col, SHIPMENT_COLUMNS))
-    return page(rows, FIELDS[sort_by or "date"][0], sort_order, number, size)
+    return _shipment_page(apply_tree(df, root), FIELDS[sort_by or "date"][0], sort_order,
+                          number, size)
 
 
 def _cut(df: DataFrame, sort_by: str, sort_order: str, cap: int) -> DataFrame:

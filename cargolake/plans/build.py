@@ -16,7 +16,8 @@ def build_shipments(spark: SparkSession, source: str, target: str,
                     ports: DataFrame | None = None, rules: HeaderRules | None = None,
                     limit: int | None = None, sample_rows: int = 1000,
                     search_columns: bool = True, multi_line: bool = False,
-                    stamped: tuple[str, ...] = STAMPED_COLUMNS) -> DataFrame:
+                    stamped: tuple[str, ...] = STAMPED_COLUMNS,
+                    by_country: bool = True) -> DataFrame:
     """Read, map, clean, de-duplicate and write every feed below ``source``.
 
     Below ``target`` it writes ``shards`` (cleaned rows), ``shipments`` (the table),
@@ -45,7 +46,7 @@ def build_shipments(spark: SparkSession, source: str, target: str,
 
     table = dedupe_across_files(shards)
     writers.write_shards(add_search_columns(table) if search_columns else table,
-                         f"{target}/shipments")
+                         f"{target}/shipments", by_country)
     shipments = writers.read_table(spark, f"{target}/shipments")
 
     writers.write_by_direction(shipments, f"{target}/by_direction")

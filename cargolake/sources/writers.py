@@ -18,15 +18,22 @@ def write_stage(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def write_shards(df: DataFrame, path: str) -> None:
-    """Shipments as zstd Parquet, one folder per reporting country.
-
-    Rebalancing lets adaptive execution split a country that holds a large part of the
-    rows and join the small ones, so files come out even. Inside a file the rows are in
-    order of date and code, which lets a scan skip row groups.
+def write_shards(df: DataFrame, path: str, by_country: bool = True) -> None:
+    """Shipments as zstd Parquet, laid out for search.
+
+    With ``by_country`` there is one folder per reporting country. Rebalancing lets adaptive
+    execution split a country that holds a large part of the rows and join the small ones.
+    Otherwise, for tables too small for folders, files hold ranges of date and code; a hash
+    of the row splits a range that one date and code would fill. Either way the rows of a
+    file are in order of date and code, so scans skip files and row groups by statistics.
     """
-    (df.hint("rebalance", col(PARTITION)).sortWithinPartitions(PARTITION, "Date", "HSN")
-     .write.mode("overwrite").option("compression", "zstd").partitionBy(PARTITION).parquet(path))
+    if by_country:
+        placed = df.hint("rebalance", col(PARTITION))
+    else:
+        placed = df.repartitionByRange("Date", "HSN", F.xxhash64(*map(col, df.columns)))
+    writer = (placed.sortWithinPartitions(*([PARTITION] if by_country else []), "Date", "HSN")
+              .write.mode("overwrite").option("compression", "zstd"))
+    (writer.partitionBy(PARTITION) if by_country else writer).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
