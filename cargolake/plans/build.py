@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.cleaning import STAMPED_COLUMNS, add_search_columns, clean, dedupe_across_files
+from ..operators.cleaning import (STAMPED_COLUMNS, add_search_columns, dedupe_across_files,
+                                  distinct_rows, typed)
 from ..operators.headers import HeaderRules, mapping_report
 from ..operators.mapping import map_feed
 from ..sources import feeds, writers
@@ -29,22 +30,23 @@ def build_shipments(spark: SparkSession, source: str, target: str,
     # The listing is metadata, one row per file.
     listed = [(r["path"], r["suffix"])
               for r in (feeds.first_files(found, limit) if limit else found).collect()]
-    groups, failed = feeds.group_by_header(spark, listed)
+    groups, failed = feeds.group_by_layout(spark, listed)
     if not groups:
         raise RuntimeError(f"no readable feed below {source}")
 
-    mapped, reports, counts = [], [], []
-    for (suffix, header), paths in groups.items():
-        raw, names = feeds.read_group(spark, suffix, header, paths, multi_line)
+    mapped, reports = [], []
+    for layout, paths in groups.items():
+        raw, names = feeds.read_group(spark, layout, paths, multi_line)
         mapped.append(map_feed(raw, F.col("_file"), rules, ports, names))
-        reports.append(mapping_report(raw, F.col("_file"), names, rules))
-        counts.append(raw.groupBy(F.col("_file").alias("file")).agg(F.count("*").alias("rows_in")))
+        reports.append(mapping_report(_names(spark, paths), F.col("file"), names, rules))
 
-    cleaned = clean(reduce(DataFrame.unionByName, mapped), stamped)
-    writers.write_stage(cleaned, f"{target}/shards")
+    # The feeds are read once: the shards carry how often each row occurred.
+    rows = distinct_rows(typed(reduce(DataFrame.unionByName, mapped)), stamped)
+    writers.write_stage(rows, f"{target}/shards")
     shards = spark.read.parquet(f"{target}/shards")
+    cleaned = shards.filter("_told").drop("_copies", "_told")
 
-    table = dedupe_across_files(shards)
+    table = dedupe_across_files(cleaned)
     writers.write_shards(add_search_columns(table) if search_columns else table,
                          f"{target}/shipments", by_country)
     shipments = writers.read_table(spark, f"{target}/shipments")
@@ -53,6 +55,15 @@ def build_shipments(spark: SparkSession, source: str, target: str,
     writers.write_sample(shipments.drop("_search", "_pd_search"), f"{target}/sample", sample_rows)
     reduce(DataFrame.unionByName, reports).write.mode("overwrite").parquet(
         f"{target}/mapping_report")
-    summary = writers.run_summary(reduce(DataFrame.unionByName, counts), shards, failed)
-    summary.write.mode("overwrite").parquet(f"{target}/summary")
+    seen = shards.groupBy(F.col("Source File").alias("file")).agg(F.sum("_copies").alias("rows_in"))
+    counts = _names(spark, [p for paths in groups.values() for p in paths]).distinct().join(
+        seen, "file", "left")
+    writers.run_summary(counts, cleaned, failed).write.mode("overwrite").parquet(
+        f"{target}/summary")
     return spark.read.parquet(f"{target}/summary")
+
+
+def _names(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """File names of listed paths as a frame."""
+    return spark.createDataFrame([(feeds.plain_path(p).rsplit("/", 1)[-1],) for p in paths],
+                                 "file string")

@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -44,6 +45,11 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
+def plain_path(path: str) -> str:
+    """The listed path again."""
+    return re.sub(r"\\(.)", r"\1", path)
+
+
 def file_name() -> Column:
     """Name of each row's file. The metadata column holds it in URL form."""
     encoded = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
@@ -96,42 +102,51 @@ def read_parquet(spark: SparkSession, paths: list[str]) -> DataFrame:
     return df.select(*(col(c).cast("string").alias(c) for c in df.columns))
 
 
-def group_by_header(spark: SparkSession, files: list[tuple[str, str]], threads: int = 16
-                    ) -> tuple[dict[tuple[str, tuple[str, ...]], list[str]], dict[str, str]]:
-    """Paths by (suffix, header), and the error text of the files that cannot be opened.
+class Layout(NamedTuple):
+    """What files must share to be read in one scan."""
+
+    suffix: str
+    names: tuple[str, ...]
+    types: tuple[str, ...]
+
+
+def _layout(spark: SparkSession, path: str, suffix: str) -> Layout:
+    if suffix == "csv":
+        names = csv_header(spark, path)
+        return Layout(suffix, names, ("string",) * len(names))
+    return Layout(suffix, *zip(*spark.read.parquet(path).dtypes))
+
+
+def group_by_layout(spark: SparkSession, files: list[tuple[str, str]], threads: int = 16
+                    ) -> tuple[dict[Layout, list[str]], dict[str, str]]:
+    """Paths by layout, and the error text of the files that cannot be opened.
 
-    Files that share a header become one scan, so a plan has a branch per layout and not
-    one per file. The header is metadata; nothing else of a file is read here.
+    Files of one layout become one scan, so a plan has a branch per layout and not one per
+    file. Headers are metadata; nothing else of a file is read here.
     """
-    def header(item: tuple[str, str]) -> tuple[str, ...] | Exception:
-        path, suffix = literal_path(item[0]), item[1]
+    def look(item: tuple[str, str]) -> Layout | Exception:
         try:
-            if suffix == "csv":
-                return csv_header(spark, path)
-            return tuple(spark.read.parquet(path).columns)
+            return _layout(spark, literal_path(item[0]), item[1])
         except Exception as error:  # noqa: BLE001 - one bad file must not stop the others
             return error
 
     with ThreadPoolExecutor(threads) as pool:
-        found = list(pool.map(header, files))
-    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+        found = list(pool.map(look, files))
+    groups: dict[Layout, list[str]] = {}
     failed: dict[str, str] = {}
-    for (path, suffix), result in zip(files, found):
+    for (path, _), result in zip(files, found):
         if isinstance(result, Exception):
             failed[path] = f"{type(result).__name__}: {str(result).splitlines()[0]}"
         else:
-            groups.setdefault((suffix, result), []).append(literal_path(path))
+            groups.setdefault(result, []).append(literal_path(path))
     return groups, failed
 
 
-def read_group(spark: SparkSession, suffix: str, header: tuple[str, ...], paths: list[str],
-               multi_line: bool = False) -> tuple[DataFrame, list[str]]:
-    """One layout's files with their file name in ``_file``, and the feed's own columns."""
-    if suffix == "csv":
-        df = read_csv(spark, paths, header, multi_line)
-        names = df.columns
-        return df.select("*", file_name().alias("_file")), names
-    df = spark.read.parquet(*paths)
+def read_group(spark: SparkSession, layout: Layout, paths: list[str], multi_line: bool = False
+               ) -> tuple[DataFrame, list[str]]:
+    """One layout's files as text with their file name in ``_file``, and their own columns."""
+    df = (read_csv(spark, paths, layout.names, multi_line) if layout.suffix == "csv"
+          else spark.read.parquet(*paths))
     names = df.columns
     return df.select(*(col(c).cast("string").alias(c) for c in names),
                      file_name().alias("_file")), names

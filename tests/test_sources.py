@@ -23,14 +23,25 @@ def test_scan_folder(spark, tmp_path):
     assert [r["name"] for r in found] == ["50% [x] a+b.csv", "A one.CSV", "b.csv"]
     assert {r["suffix"] for r in found} == {"csv"} and found[0]["length"] == 8
     first = feeds.first_files(feeds.scan_folder(spark, str(tmp_path)), 1).first()
-    groups, failed = feeds.group_by_header(spark, [(r["path"], r["suffix"]) for r in found])
+    groups, failed = feeds.group_by_layout(spark, [(r["path"], r["suffix"]) for r in found])
     assert not failed and len(groups) == 1
-    (suffix, header), paths = next(iter(groups.items()))
-    df, names = feeds.read_group(spark, suffix, header, paths)
+    layout, paths = next(iter(groups.items()))
+    df, names = feeds.read_group(spark, layout, paths)
     assert names == ["a", "b"] and {r["_file"] for r in df.collect()} == {r["name"] for r in found}
     assert first["name"] == found[0]["name"]
 
 
+def test_parquet_files_of_other_types_are_read_apart(spark, tmp_path):
+    for name, kind in (("a", "int"), ("b", "string"), ("c", "int")):
+        spark.range(3).select(F.col("id").cast(kind).alias("Qty")).coalesce(1).write.parquet(
+            str(tmp_path / name))
+    files = [(r["path"], r["suffix"]) for r in feeds.scan_folder(spark, str(tmp_path)).collect()]
+    groups, _ = feeds.group_by_layout(spark, files)
+    assert sorted(len(v) for v in groups.values()) == [1, 2]
+    frames = [feeds.read_group(spark, layout, paths)[0] for layout, paths in groups.items()]
+    assert all(dict(f.dtypes)["Qty"] == "string" for f in frames) and sum(f.count() for f in frames) == 9
+
+
 def test_csv_is_text_and_tolerant(spark, tmp_path):
     path = write(tmp_path / "f.csv", '﻿Name,Value,VALUE\n"a ""q"", b",1,2\nshort\nlong,1,2,3,4\n')
     df = feeds.read_csv(spark, [path])
