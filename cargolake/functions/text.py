@@ -61,9 +61,9 @@ def fold_accents(c: Column) -> Column:
     Plain ASCII values, the usual case, take the first branch and cost one length check.
     """
     source, target, longer = _fold_tables()
-    widened = c
-    for ch, out in longer:
-        widened = F.replace(widened, F.lit(ch), F.lit(out))
+    table = F.create_map(*(F.lit(v) for pair in longer for v in pair))
+    widened = F.array_join(F.transform(
+        F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
     has_longer = c.rlike("[" + "".join(ch for ch, _ in longer) + "]")
     wide = F.when(has_longer, widened).otherwise(c)
     folded = F.regexp_replace(F.translate(wide, source, target), r"[^\x00-\x7F]", "")
