@@ -30,13 +30,19 @@ def duplicates(df: DataFrame, min_occurrences: int = 2, limit: int = 100,
                key: tuple[str, ...] = DEDUPE_KEY) -> DataFrame:
     """The largest groups of rows that agree on the key, with their source files.
 
-    Counting needs only numbers in the buffers, so it combines in hash maps before the
-    shuffle. The files are then gathered for the at most ``limit`` groups reported: that
-    many rows are broadcast, and each task sends a file once per group.
+    Most rows have no twin. Counting a hash of the key shuffles a few bytes per row and
+    leaves the rows whose hash occurs often enough; different keys with one hash only add
+    rows to the exact count that follows. The hashes carry no broadcast hint, as there may
+    be many. The files are then gathered for the at most ``limit`` groups reported, and
+    each task sends a file once per group.
     """
     names = list(map(col, key))
     order = [F.desc("occurrences"), *(c.asc_nulls_last() for c in names)]
-    groups = (df.groupBy(*names).agg(F.count("*").alias("occurrences"))
+    hashed = df.select(*names, "Source File", F.xxhash64(*names).alias("_hash"))
+    often = (hashed.groupBy("_hash").agg(F.count("*").alias("n"))
+             .filter(F.col("n") >= min_occurrences).select("_hash"))
+    rows = hashed.join(often, "_hash", "left_semi").drop("_hash")
+    groups = (rows.groupBy(*names).agg(F.count("*").alias("occurrences"))
               .filter(F.col("occurrences") >= min_occurrences).orderBy(*order).limit(limit))
     wanted = groups.select("occurrences", *(col(c).alias(f"_{i}") for i, c in enumerate(key)))
     same = reduce(and_, (col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(key)))
