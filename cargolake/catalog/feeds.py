@@ -361,27 +361,26 @@ def consolidate(v: Views) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
+_PARTNER = f'''coalesce({_foreign('"Country_of_Origin"')}, {_foreign('r."Country"')},
+    {_foreign('"Importing Country"')}, {_foreign("port_country")})'''
 _MAPPED = f'''
 SELECT "BE_Date" AS "Date", coalesce(nullif(trim("ImporterName"), ''), nullif(trim("Consignee Name"), ''))
     AS "Importer", NULL::VARCHAR AS "Exporter",
   coalesce(nullif(trim("SupplierName"), ''), nullif(trim("Shipper Name"), '')) AS "Supplier",
   NULL::VARCHAR AS "Buyer", "CTH_HSCODE" AS "HSN",
-  coalesce({_foreign('"Country_of_Origin"')}, {_foreign('"Country"')}, {_foreign('"Importing Country"')},
-    {_foreign("port_country")}) AS "Country",
+  {_PARTNER} AS "Country",
   coalesce(nullif(trim("Port of Destination"), ''), "Port of Shipment") AS "Port",
   "Quantity", "UQC" AS "Unit", "INVOICE_CURRENCY" AS "Currency", "Product_Descriptin" AS "Product Description",
-  "Country" AS "Origin Country", home AS "Destination Country", 'IMPORT' AS "Trade Type",
+  {_PARTNER} AS "Origin Country", home AS "Destination Country", 'IMPORT' AS "Trade Type",
   home AS "Reporting Country", CASE WHEN file_name LIKE '29%' THEN '29' WHEN file_name LIKE 'Turkey%'
     THEN '38' END AS "HS Chapter", "BE_NO" AS "BE/SB Number", "Mode of Shipment" AS "Mode",
   file_name AS "Source File"
 FROM (SELECT *, {_HOME} AS home FROM raw_import) r
 LEFT JOIN (SELECT lower(port) AS port_key, country AS port_country FROM ports) p
-  ON lower(trim("Port of Destination")) = port_key'''.replace(
-    '"Country" AS "Origin Country"', f'''coalesce({_foreign('"Country_of_Origin"')}, {_foreign('r."Country"')},
-    {_foreign('"Importing Country"')}, {_foreign("port_country")}) AS "Origin Country"''')
+  ON lower(trim("Port of Destination")) = port_key'''
 
 
-@query("map_canonical_select", _MAPPED.replace('{_foreign(\'"Country"\')}', ""))
+@query("map_canonical_select", _MAPPED)
 def canonical(v: Views) -> DataFrame:
     raw = v["raw_import"]
     df = m.map_feed(raw, F.col("file_name"), ports=v["ports"], headers=_headers(raw))
