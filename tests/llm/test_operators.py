@@ -1,0 +1,471 @@
+"""Every operator against a brute-force version on the small tables."""
+import hashlib
+import re
+import string
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from cargolake.llm import bpe, exact, lines, merkle, minhash, packing, quality, secrets, sharding, suffix  # noqa: E402
+
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def sha(x):
+    return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def same(df, want):
+    got = [tuple(r) for r in df.collect()]
+    assert Counter(map(repr, got)) == Counter(map(repr, want))
+
+
+def plain(rows):
+    return [(r[0], r[1] or "") for r in rows]
+
+
+# 1
+def test_bpe(docs, rows):
+    import base64
+    import tiktoken
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for d, t in plain(rows):
+        ids = own.encode_ordinary(t)
+        want.append((d, len(ids), sha(" ".join(map(str, ids))), sha(t)))
+    same(bpe.digests(docs, path), want)
+    back = bpe.decode(bpe.encode(docs, path), path)
+    same(back, [(d, t.encode()) for d, t in plain(rows)])
+
+
+def test_bpe_trees_agree():
+    ranks = bpe.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")).ranks
+    rng = np.random.default_rng(1)
+    pieces = [bytes(rng.choice(list(b"abcdeth \xc3\xa9"), rng.integers(1, 64)).tolist()) for _ in range(400)]
+    many = bpe.merge_many(pieces, 64, ranks)
+    assert [np.frombuffer(x, "<u4").tolist() for x in many] == [bpe.merge_one(p, ranks) for p in pieces]
+
+
+def test_bpe_other_vocabulary(docs, rows):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    same(bpe.decode(bpe.encode(docs, path), path), [(d, t.encode()) for d, t in plain(rows)])
+
+
+# 2
+def brute_suffix(rows):
+    least, n = {}, suffix.MATCH
+    order = lambda d: suffix.LAST if d is None else d
+    for d, t in rows:
+        b = t.encode()
+        for i in range(len(b) - n + 1):
+            s = b[i:i + n]
+            least[s] = min(least.get(s, suffix.LAST), order(d))
+    out = []
+    for d, t in rows:
+        b = t.encode()
+        gone = np.zeros(len(b) + 2, bool)
+        for i in range(len(b) - n + 1):
+            if least[b[i:i + n]] < order(d):
+                gone[i + 1:i + n + 1] = True
+        spans = int((np.diff(gone.astype(int)) == 1).sum())
+        out.append((d, len(b), int(gone.sum()), spans, sha(bytes(x for x, g in zip(b, gone[1:-1]) if not g))))
+    return out
+
+
+@pytest.mark.parametrize("piece,block", [(1 << 20, 4 << 20), (700, 8000)])
+def test_suffix(docs, rows, monkeypatch, piece, block):
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffix, "PART_BYTES", block)
+    found = suffix.removals(docs, kept=False)
+    same(found.selectExpr("doc_id", "n_bytes", "n_removed", "bigint(size(spans))", "kept_sha256"), brute_suffix(plain(rows)))
+
+
+def test_suffix_long_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abc "), n)) for n in (9000, 40, 5000)]
+    table = pa.table({"doc_id": pa.array([1, 2, 3], pa.int64()), "text": texts})
+
+    def found(piece):
+        monkeypatch.setattr(suffix, "PIECE", piece)
+        b = suffix.Block(table)
+        b.anchors()
+        return b.place.tolist(), b.gram.tolist(), b.context.tolist(), b.matches(b.place)[2].tolist()
+    assert found(1 << 20) == found(600)
+
+
+def test_index_family():
+    rng = np.random.default_rng(3)
+    family, want = suffix.Family(np.minimum), {}
+    for _ in range(60):
+        keys = np.unique(rng.integers(0, 3000, rng.integers(1, 300)).astype(np.uint64))
+        owners = rng.integers(0, 99, len(keys))
+        family.add(keys, owners)
+        for k, o in zip(keys.tolist(), owners.tolist()):
+            want[k] = min(want.get(k, 99), o)
+    sizes = [len(k) for k, _ in family.levels]
+    assert sizes == sorted(sizes, reverse=True) and len(sizes) < 9
+    every = np.arange(3000, dtype=np.uint64)
+    assert family.scan(every, 99).tolist() == [want.get(k, 99) for k in range(3000)]
+
+
+# 3
+def shingle_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))
+    if len(w) < 5:
+        return frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+
+
+def brute_near(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        least[root(i)].append(d)
+    out = []
+    for i, (d, _) in enumerate(rows):
+        known = [x for x in least[root(i)] if x is not None]
+        c = min(known) if known and sets[i] else d
+        out.append((d, len(sets[i]), c, d == c))
+    return out
+
+
+def test_minhash(docs, rows):
+    want = brute_near(plain(rows))
+    same(minhash.near_duplicates(docs).drop("text_row"), want)
+    kept = Counter(r["doc_id"] for r in minhash.dedup(docs).collect())
+    assert kept == Counter(w[0] for w in want if w[3])
+
+
+def test_minhash_without_tables(docs, rows, monkeypatch):
+    # few tables: what they bring together is still linked exactly
+    monkeypatch.setattr(minhash, "SLOTS", 6)
+    monkeypatch.setattr(minhash, "ROWS", 1)
+    same(minhash.near_duplicates(docs).drop("text_row"), brute_near(plain(rows)))
+
+
+# 4
+def test_packing(docs, rows):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    ids = [own.encode(t, add_special_tokens=False).ids + [0] for _, t in plain(rows)]
+    size = 512
+    want = Counter()
+    for (d, _), x in zip(plain(rows), ids):
+        first = len(x) if len(x) <= size else len(x) % size or size
+        cuts = [(0, first)] + [(a, size) for a in range(first, len(x), size)]
+        for k, (a, n) in enumerate(cuts):
+            want[d, k, a, n, zlib.crc32(np.array(x[a:a + n], "<u4").tobytes())] += 1
+    got = packing.pack_digests(docs, path, size).collect()
+    assert Counter(tuple(r[:5]) for r in got) == want
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for x in by.values():
+        x.sort()
+        assert [o for o, _ in x] == np.cumsum([0, *(n for _, n in x)])[:-1].tolist()
+        assert sum(n for _, n in x) <= size
+    total = sum(map(len, ids))
+    assert len(by) <= 1.05 * -(-total // size)
+    full = packing.sequences(packing.pack(docs, path, size)).collect()
+    assert sum(len(r["ids"]) for r in full) == 4 * total
+
+
+def test_best_fit_takes_the_tightest():
+    lengths = sorted(np.random.default_rng(5).integers(1, 100, 500).tolist(), reverse=True)
+    got, open_bins = packing.best_fit(lengths, 100), []
+    for n, (at, offset) in zip(lengths, got):
+        fits = [r for r in open_bins if r >= n]
+        if fits:
+            assert 100 - offset == min(fits)
+            open_bins[at] -= n
+        else:
+            assert (at, offset) == (len(open_bins), 0)
+            open_bins.append(100 - n)
+
+
+# 5
+def brute_base(text):
+    spans = [(m.start(), 0, m.end()) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 8]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 32]
+    return sorted(spans)
+
+
+def test_secrets(docs, rows):
+    got = secrets.digests(secrets.find(docs)).collect()
+    want = Counter()
+    for d, t in plain(rows):
+        base = brute_base(t)
+        n = Counter(k for _, k, _ in base)
+        want[d, n[0], n[1], n[2], sha(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base))] += 1
+    assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got) == want
+    masked = {r["doc_id"]: r["text"] for r in secrets.masked(docs).collect()}
+    assert masked[400] is None and masked[401] == ""
+    for d, t in rows_by_id(rows).items():
+        if t and not brute_base(t) and "AKIA" not in t:
+            assert masked[d] == t or "<secret>" in masked[d]
+    assert not brute_base(masked[412]) and masked[412].startswith("é <secret>")
+
+
+def rows_by_id(rows):
+    return {r[0]: r[1] for r in rows if r[0] is not None and r[0] not in (5, 6)}
+
+
+def test_secret_network_learns_and_adds(spark):
+    rng = np.random.default_rng(8)
+    token = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJK0123456789"), n))
+    data = [(i, f"text password={token(20)} more") for i in range(150)]
+    data += [(1000 + i, f"call {rng.integers(10**16, 10**17)} or see mail{i % 9}.example.com at noon") for i in range(300)]
+    data += [(5000, f"text passwort={token(24)} more")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secrets.digests(secrets.find(df)).collect()}
+    assert sum(r["n_model"] for d, r in found.items() if 1000 <= d < 5000) <= 3
+    assert found[5000]["n_model"] == 1 and found[5000]["spans"].startswith("model:")
+
+
+# 6
+def brute_shards(rows, count):
+    by = defaultdict(list)
+    for r in rows:
+        h = hashlib.md5(f"{sharding.SEED}:{'-' if r[0] is None else r[0]}".encode()).hexdigest()
+        t = (r[1] or "").encode()
+        by[r[3] or "", r[3] is None].append((h, r[0] if r[0] is not None else -10**9, zlib.crc32(t), len(t) + 8, r[0]))
+    line = []
+    for source, x in by.items():
+        for k, y in enumerate(sorted(x, key=lambda v: v[:4])):
+            line.append(((2 * k + 1) / (2 * len(x)), *source, *y))
+    line.sort(key=lambda v: v[:7])
+    n, out = len(line), []
+    for at, x in enumerate(line):
+        shard = at * count // n
+        out.append((x[7], x[6], x[5], x[1] if not x[2] else None, shard, at - -(-shard * n // count)))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [1000, 10])
+def test_sharding(docs, rows, monkeypatch, bucket):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket)
+    got = sharding.shards(docs, 7)
+    same(got, brute_shards(rows, 7))
+    by = defaultdict(Counter)
+    for r in got.collect():
+        by[r["shard"]][r["source"]] += 1
+    sizes = [sum(c.values()) for c in by.values()]
+    assert max(sizes) - min(sizes) <= 1
+    total = Counter(r[3] for r in rows)
+    for c in by.values():
+        for s in total:
+            assert abs(c[s] - total[s] / 7) <= len(total)
+
+
+# 7
+def brute_lines(rows):
+    where, last = defaultdict(set), {}
+    key = lambda x: x.strip(BLANKS).translate(LOWER)
+    for d, t in rows:
+        for x in t.split("\n"):
+            where[key(x)].add(d)
+    for k, ds in where.items():
+        if len(k) >= 20 and len(ds) >= 3:
+            last[k] = max(ds, key=lambda d: (d is not None, d or 0))
+    out = []
+    for d, t in rows:
+        x = t.split("\n")
+        kept = [y for y in x if key(y) not in last or last[key(y)] == d]
+        out.append((d, len(x), len(x) - len(kept), sha("\n".join(kept))))
+    return out
+
+
+@pytest.mark.parametrize("heavy", [1000, 1])
+def test_lines(docs, rows, monkeypatch, heavy):
+    monkeypatch.setattr(lines, "HEAVY", heavy)
+    same(lines.digests(lines.dedup(docs)), brute_lines(plain(rows)))
+
+
+def test_lines_runs_without_python(docs):
+    def plan(df):
+        mode = df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+        return df._jdf.queryExecution().explainString(mode)
+    assert not re.search("Python|Pandas|Arrow", plan(lines.dedup(docs)))
+    assert not re.search("Python|Pandas|Arrow", plan(sharding.shards(docs)))
+
+
+# 8
+def brute_exact(rows):
+    by = defaultdict(list)
+    for d, t in rows:
+        by[t.translate(LOWER)].append(d)
+    out = []
+    for d, t in rows:
+        ds = by[t.translate(LOWER)]
+        keep = max((x for x in ds if x is not None), default=None)
+        out.append((d, keep, len(ds), d == keep, sha(t.translate(LOWER))))
+    return out
+
+
+@pytest.mark.parametrize("budget", [exact.BUDGET, 20_000, 1])
+def test_exact(docs, rows, budget):
+    same(exact.groups(docs, budget=budget), brute_exact(plain(rows)))
+
+
+def test_exact_dedup_keeps_columns(docs, rows):
+    got = exact.dedup(docs)
+    assert got.columns == docs.columns
+    want = {(d, t.translate(LOWER)) for (d, t), w in zip(plain(rows), brute_exact(plain(rows))) if w[3]}
+    kept = [(r["doc_id"], (r["text"] or "").translate(LOWER)) for r in got.collect()]
+    assert len(kept) == len(want) and set(kept) == want
+
+
+def test_trie():
+    rng = np.random.default_rng(6)
+    trie, want = exact.Trie(4000), {}
+    out = defaultdict(lambda: [None, None, 0])
+    seen = []
+    for i in range(3000):
+        k = bytes(rng.choice(list(b"ab"), rng.integers(0, 12)).tolist())
+        want.setdefault(k, []).append(i)
+        trie.add(k, i, i, 1)
+        seen += list(trie.spill())
+    for k, (a, z, n) in seen + list(trie.drain()):
+        e = out[k]
+        out[k] = [a if e[0] is None else min(a, e[0]), max(z, e[1] or 0), n + e[2]]
+    assert {k: tuple(v) for k, v in out.items()} == {k: (min(v), max(v), len(v)) for k, v in want.items()}
+
+
+# 9
+@pytest.mark.parametrize("size", [16 << 20, 4000])
+def test_merkle(docs, rows, monkeypatch, size):
+    monkeypatch.setattr(merkle, "RANGE_BYTES", size)
+    got = merkle.against_edits(docs).collect()
+    prints = {}
+    by_id = defaultdict(set)
+    for r in got:
+        by_id[r["doc_id"]].add((r["n_chars"], r["edited_sha256"]))
+    line = sorted({r[0] for r in rows if r[0] is not None}, reverse=True)
+    texts = defaultdict(list)
+    for d, t in plain(rows):
+        texts[d].append(t)
+    assert len(got) == len(rows)
+    for d, after in zip(line, line[1:]):
+        if len(texts[d]) == len(texts[after]) == 1:
+            t, n = texts[d][0], len(texts[d][0]) // 3
+            assert by_id[d] == {(len(t), sha(t[:len(t) - n] + texts[after][0][:n]))}
+    for r in got:
+        if len(texts[r["doc_id"]]) == 1:
+            t = texts[r["doc_id"]][0]
+            assert prints.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    assert len(set(prints.values())) == len(prints)
+    assert str(merkle.Tree.parse(got[0]["fingerprint"])) == got[0]["fingerprint"]
+    near = [r["near_edited"] for r in got if r["n_chars"] > 60]
+    assert np.mean(near) > 0.5
+    assert {r["fingerprint"] for r in merkle.fingerprints(docs).collect()} == {r["fingerprint"] for r in got}
+
+
+def test_merkle_differences():
+    text = "\n".join(f"paragraph {i} with some words" for i in range(20))
+    a, b = merkle.Tree(text), merkle.Tree(text.replace("paragraph 7", "paragraph x"))
+    assert 0.9 < merkle.likeness(a, b) < 1 and len(merkle.differences(a, b)) == 1
+    assert merkle.likeness(a, merkle.Tree(text)) == 1
+    assert merkle.likeness(merkle.Tree(""), merkle.Tree("x")) == 0
+    # lines that move between paragraphs and sections change the root
+    assert merkle.Tree("a\nb").root != merkle.Tree("a\n\nb").root != merkle.Tree("a\n\n\nb").root
+
+
+# 10
+def test_quality(docs, rows, labels):
+    model = quality.train(docs, labels)
+    got = quality.scored(docs, model).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (400, 401)}) == 1
+    keep = quality.accepted(docs, model)
+    assert keep.columns == docs.columns
+    assert Counter(r["doc_id"] for r in keep.collect()) == Counter(r["doc_id"] for r in got if r["score"] >= 0.3)
+
+
+def test_chain_against_enumeration():
+    rng = np.random.default_rng(9)
+    chain = quality.Chain(rng.normal(size=4), rng.normal(size=(2, 2)))
+    firsts = np.array([0, 3, 4, 9])
+    x = rng.normal(size=(9, 4))
+    total, line, pair, at = chain.run(x, firsts)
+    emit = np.column_stack((np.zeros(9), x @ chain.weights))
+    import itertools
+    for a, z, log_z in zip(firsts, firsts[1:], total):
+        weight = {}
+        for y in itertools.product((0, 1), repeat=z - a):
+            weight[y] = np.exp(sum(emit[a + i, s] for i, s in enumerate(y)) + sum(chain.moves[s, t] for s, t in zip(y, y[1:])))
+        z_all = sum(weight.values())
+        assert np.isclose(log_z, np.log(z_all))
+        for i in range(z - a):
+            assert np.isclose(line[a + i, 1], sum(w for y, w in weight.items() if y[i]) / z_all)
+    assert np.allclose(pair.sum((1, 2)), 1)
+
+
+def test_quality_held_out_accuracy(spark):
+    from pathlib import Path
+    from pyspark.sql import functions as F
+    d = "/root/testdata/sf0.01"
+    if not Path(d).exists():
+        pytest.skip("sample tables are not there")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    scored = quality.scored(docs, quality.train(docs, labels)).join(labels, "doc_id").where(quality.held_out(F.col("doc_id")))
+    rows = scored.collect()
+    assert np.mean([(r["score"] >= 0.3) == (r["quality"] == 1) for r in rows]) > 0.95
+
+
+def test_line_features_do_not_see_neighbouring_texts():
+    import pyarrow as pa
+    texts = ["One two three.\nfour", "", "Zzz\n\nyy yy yy", "é" * 10]
+    own, size, firsts = quality.line_features(pa.array(texts))
+    assert np.diff(firsts).tolist() == [2, 1, 3, 1]
+    for k, t in enumerate(texts):
+        alone, one_size, _ = quality.line_features(pa.array([t]))
+        assert np.allclose(own[firsts[k]:firsts[k + 1]], alone)
+        assert size[firsts[k]:firsts[k + 1]].tolist() == one_size.tolist()
+
+
+# all
+def test_empty_table(empty, labels):
+    path, vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+    for df in (bpe.digests(empty, path), suffix.removals(empty), minhash.near_duplicates(empty), minhash.dedup(empty),
+               packing.pack_digests(empty, vocabulary), secrets.find(empty), secrets.masked(empty), sharding.shards(empty),
+               lines.dedup(empty), exact.groups(empty), exact.dedup(empty), merkle.against_edits(empty),
+               quality.scored(empty, quality.train(empty, labels))):
+        assert df.collect() == []
+
+
+def test_pipeline(spark, docs, labels, rows, tmp_path):
+    import corpus_pipeline
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    step, kept = docs, [len(rows)]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == docs.columns, name
+        kept.append(step.count())
+    assert kept == sorted(kept, reverse=True) and kept[-1] == kept[-2] < kept[1]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len({r["doc_id"] for r in got if r["doc_id"] is not None}) > 0
+    assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(r["doc_id"] for r in step.collect())
