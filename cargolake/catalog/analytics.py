@@ -119,13 +119,12 @@ def hsn(v: Views) -> DataFrame:
 
 
 @query("agg_duplicates", f'''
-SELECT {_KEY}, count(*) AS occurrences,
-       array_to_string(list_sort(list_distinct(list("Source File"))), '|') AS source_files
-FROM repeated GROUP BY {_KEY} HAVING count(*) >= 2
-ORDER BY occurrences DESC, {", ".join(f'"{k}" ASC NULLS LAST' for k in DEDUPE_KEY)} LIMIT 100''')
+WITH g AS (SELECT {_KEY}, count(*) AS occurrences FROM repeated GROUP BY {_KEY} HAVING count(*) >= 2
+  ORDER BY occurrences DESC, {", ".join(f'"{k}" ASC NULLS LAST' for k in DEDUPE_KEY)} LIMIT 100)
+SELECT DISTINCT {", ".join(f'g."{k}"' for k in DEDUPE_KEY)}, occurrences, r."Source File"
+FROM g JOIN repeated r ON {" AND ".join(f'g."{k}" IS NOT DISTINCT FROM r."{k}"' for k in DEDUPE_KEY)}''')
 def duplicates(v: Views) -> DataFrame:
-    return advanced.duplicates(v["repeated"]).withColumn(
-        "source_files", F.array_join("source_files", "|"))
+    return advanced.duplicates(v["repeated"])
 
 
 _SUPPLIERS = '''WITH s AS (SELECT "Supplier" AS supplier, count(*) AS shipments,
@@ -271,7 +270,19 @@ def suggest_prefix(v: Views) -> DataFrame:
     return entities.suggest(v.shipments, "Importer", "customer#0000000")
 
 
-@query("txt_similar")
+def _close(a: str, b: str) -> str:
+    return f"(1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}), 1))"
+
+
+@query("txt_similar", f'''
+WITH e AS (SELECT "Importer" AS name, lower("Importer") AS t, 'custmer#000000042' AS q, count(*) AS shipments
+           FROM shipments WHERE "Importer" IS NOT NULL GROUP BY 1),
+s AS (SELECT *, round(100 * greatest({_close("t", "q")},
+  0.95::DOUBLE * {_close("array_to_string(list_sort(string_split(t, ' ')), ' ')", "q")},
+  0.9::DOUBLE * list_max(list_transform(string_split(t, ' '), lambda w: {_close("w", "q")})),
+  CASE WHEN contains(t, q) THEN 0.9::DOUBLE ELSE 0 END), 6) AS raw FROM e)
+SELECT name, CAST(floor(raw) AS INTEGER) AS score, shipments FROM s WHERE raw >= 70
+ORDER BY raw DESC, name LIMIT 10''')
 def similar(v: Views) -> DataFrame:
     return entities.similar(entities.entity_counts(v.shipments, "Importer"), "Custmer#000000042")
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import fold_accents, folded_key, squash
+from ..functions.text import fold_accents, folded_key
 from ..operators import cleaning as c
-from ..schema import DEDUPE_KEY, SHIPMENT_COLUMNS, col
+from ..schema import DEDUPE_KEY, SEARCH_COLUMNS, SHIPMENT_COLUMNS, col
 from .registry import query
 from .views import Views
 
@@ -141,11 +141,15 @@ def search_column(v: Views) -> DataFrame:
 SELECT doc_id, nullif(regexp_replace(lower("Product Description"), '[^a-z0-9]', '', 'g'), '')
        AS pd_search FROM texts''')
 def product_key(v: Views) -> DataFrame:
-    text = F.col("Product Description")
-    return v["texts"].select("doc_id", F.nullif(squash(text), F.lit("")).alias("pd_search"))
+    named = v["texts"].withColumns({n: F.lit(None).cast("string") for n in SEARCH_COLUMNS
+                                    if n != "Product Description"})
+    return c.add_search_columns(named).select("doc_id", F.col("_pd_search").alias("pd_search"))
 
 
-_FOLD = '''regexp_replace(strip_accents("Product Description"), '[^\\x00-\\x7F]', '', 'g')'''
+_FOLD = '"Product Description"'
+for _char, _plain in (("㎏", "kg"), ("⑩", "10"), ("㎎", "mg"), ("ℓ", "l"), ("Ⅷ", "VIII"), ("𝐀", "A")):
+    _FOLD = f"replace({_FOLD}, '{_char}', '{_plain}')"
+_FOLD = f"regexp_replace(strip_accents({_FOLD}), '[^\\x00-\\x7F]', '', 'g')"
 
 
 @query("drv_normq", f'''

@@ -66,9 +66,13 @@ _RAW = '''"BE_NO", "ImporterName", "Quantity", "Country",
 
 @query("src_csv_strings", f"SELECT {_RAW} FROM raw_import")
 def csv_strings(v: Views) -> DataFrame:
+    """Two feeds of one layout with their columns in opposite order."""
     path = scratch(v.spark, "feed-csv")
-    writers.write_csv(v["raw_import"].drop("file_name"), path)
-    df = feeds.read_csv(v.spark, [path])
+    raw = v["raw_import"].drop("file_name")
+    early = F.col("Period") < "1995"
+    writers.write_csv(raw.filter(early), f"{path}/a")
+    writers.write_csv(raw.filter(early.isNull() | ~early).select(*map(col, reversed(raw.columns))), f"{path}/b")
+    df = feeds.read_csv(v.spark, [f"{path}/a", f"{path}/b"])
     return df.select("BE_NO", "ImporterName", "Quantity", "Country",
                      F.coalesce("Importer_Add_02", F.lit("")).alias("Importer_Add_02"))
 
@@ -125,20 +129,27 @@ def shards(v: Views) -> DataFrame:
     return feeds.read_shards(v.spark, folder).select("id", "trade_type", "port", "mode")
 
 
+def market_files(v: Views) -> str:
+    """Market rows as the source delivers them: files that begin with two title lines."""
+    path, parts = scratch(v.spark, "market-csv"), 4
+    raw = v["market"].select(*(col(c).cast("string").alias(c) for c in agbio.COLUMNS))
+    names = [[f"Group {i}" for i in range(len(agbio.COLUMNS))],
+             ["AI", "Type", "Country", *["AI Value (m.)"] * 14, "Total"]]
+    titles = v.spark.createDataFrame([tuple(n) for n in names], raw.schema).select(
+        "*", F.when(F.col("product") == "AI", 1).otherwise(0).alias("_line"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    rows = raw.select("*", F.lit(2).alias("_line"),
+                      F.pmod(F.hash(*map(col, agbio.COLUMNS)), F.lit(parts)).alias("part"))
+    (titles.unionByName(rows).repartition(parts, "part").sortWithinPartitions("part", "_line")
+     .drop("_line").write.option("header", "false").option("emptyValue", "").partitionBy("part").csv(path))
+    return path
+
+
 @query("src_positional_header", '''
 SELECT product, type, country, cereals, vine, total_usd_m, 'market.csv' AS source_file
 FROM market''')
 def positional(v: Views) -> DataFrame:
-    path = scratch(v.spark, "market-csv")
-    raw = v["market"].select(*(col(c).cast("string").alias(c) for c in agbio.COLUMNS))
-    # Two header lines and the rows in one file, as the source delivers it.
-    names = [[f"Group {i}" for i in range(len(agbio.COLUMNS))],
-             ["AI", "Type", "Country", *["AI Value (m.)"] * 14, "Total"]]
-    titles = v.spark.createDataFrame([tuple(n) for n in names], raw.schema)
-    ordered = (titles.withColumn("_line", F.when(F.col("product") == "AI", 1).otherwise(0))
-               .unionByName(raw.withColumn("_line", F.lit(2))).coalesce(1)
-               .sortWithinPartitions("_line").drop("_line"))
-    ordered.write.option("header", "false").option("emptyValue", "").csv(path)
+    path = market_files(v)
     df = agbio.load(feeds.read_positional(v.spark, path, agbio.COLUMNS), F.lit("market.csv"))
     return df.select("product", "type", "country", "cereals", "vine", "total_usd_m", "source_file")
 
@@ -173,11 +184,12 @@ def header_norm(v: Views) -> DataFrame:
 
 
 @query("map_header_norm_accent", '''
-SELECT doc_id, regexp_replace(lower(regexp_replace(strip_accents("Product Description"),
-       '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]', '', 'g') AS header FROM texts''')
+SELECT "BE/SB Number" AS id, regexp_replace(lower('Formulacion ' || "Origin Country" || ' (%) n'), '[^a-z0-9]', '', 'g')
+       AS header FROM shipments''')
 def header_norm_accent(v: Views) -> DataFrame:
     assert folded_header("Formulación (%)") == "formulacion" and normalise("BE_Date") == "bedate"
-    return v["texts"].select("doc_id", folded_key(F.col("Product Description")).alias("header"))
+    header = F.concat(F.lit("Fórmulación "), F.col("Origin Country"), F.lit(" (%) ñ"))
+    return v.shipments.select(F.col("BE/SB Number").alias("id"), folded_key(header).alias("header"))
 
 
 def _text(name: str, view: str, sql: str, **names: str) -> None:
@@ -443,7 +455,10 @@ def replace_table(v: Views) -> DataFrame:
     name = "cargolake_" + path.rsplit("-", 1)[-1]
     for df in (v["ledger"].filter("quantity > 10"), v["ledger"]):
         writers.replace_table(df, name, path)
-    return v.spark.table(name).groupBy("type").agg(F.count("*").alias("rows"))
+    stored = v.spark.table(name)
+    assert stored.columns == v["ledger"].columns
+    v.spark.sql(f"DROP TABLE {name}")  # external: its files stay
+    return v.spark.read.parquet(path).groupBy("type").agg(F.count("*").alias("rows"))
 
 
 @query("snk_run_summary", '''

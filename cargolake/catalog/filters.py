@@ -10,8 +10,10 @@ from ..operators.cleaning import add_search_columns
 from ..operators.filters import ShipmentFilter, shortcut
 from ..operators.paging import list_by_tree, list_shipments, page_meta, sample_rows
 from ..operators.predicates import Condition, Group, apply_tree, sanitise, tree
-from ..schema import SHIPMENT_COLUMNS, col
-from ..sources.writers import shipment_export
+from ..schema import NUMERIC_COLUMNS, SHIPMENT_COLUMNS, col
+from ..session import scratch
+from ..sources.feeds import read_csv
+from ..sources.writers import export_shipments, shipment_export
 from .registry import add, query
 from .views import Views
 
@@ -168,16 +170,34 @@ def meta(v: Views) -> DataFrame:
     return page_meta(ShipmentFilter(hs_chapter="29").apply(v.shipments), 2, 50)
 
 
-@query("srt_sample")
+_PART = """SELECT "BE/SB Number" FROM shipments WHERE "HS Chapter" = '29'"""
+
+
+@query("srt_sample", f'''SELECT least(500, (SELECT count(*) FROM ({_PART}))) AS rows, true AS all_within''')
 def sample(v: Views) -> DataFrame:
-    return shown(sample_rows(ShipmentFilter(hs_chapter="29").apply(v.shipments), 500))
+    """Size of the sample, and whether it lies within the filtered rows."""
+    rows = ShipmentFilter(hs_chapter="29").apply(v.shipments)
+    drawn = sample_rows(rows, 500)
+    within = F.count_if(F.col("HS Chapter") == "29") == F.count("*")
+    return drawn.agg(F.count("*").alias("rows"), within.alias("all_within"))
+
+
+def _downloaded(v: Views, f: ShipmentFilter, cap: int | None) -> DataFrame:
+    """The download is written and read back as text."""
+    path = scratch(v.spark, "export")
+    export_shipments(v.shipments, f, path, cap)
+    df = read_csv(v.spark, [path])
+    return df.withColumnRenamed("\ufeffDate", "Date")
+
+
+_TEXTS = [c for c in SHIPMENT_COLUMNS if c not in NUMERIC_COLUMNS]
+_TEXTS_SQL = ", ".join(f'CAST("{c}" AS STRING) AS "{c}"' for c in _TEXTS)
 
 
 @query("snk_export_csv", f'''
-SELECT {_ALL} FROM shipments WHERE "Exporter" ILIKE '%00001%'
-{order_sql(SHIPMENT_COLUMNS, "Value")} LIMIT 50''')
+SELECT {_TEXTS_SQL} FROM shipments WHERE "Exporter" ILIKE '%00001%' ''')
 def export(v: Views) -> DataFrame:
-    return shipment_export(v.shipments, ShipmentFilter(exporter="00001", sort_by="Value"), 50)
+    return _downloaded(v, ShipmentFilter(exporter="00001", sort_by="Value"), None).select(*map(col, _TEXTS))
 
 
 @query("snk_export_csv_large", f'''

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vocabulary import to_english
 from ..operators import agbio, argentina as ar, registration as reg
+from ..plans import sides
+from ..session import scratch
+from ..sources.feeds import read_csv
+from ..sources.writers import export_ledger, write_csv
+from .feeds import market_files
 from .filters import order_sql
 from .registry import add, query, rounded
 from .views import Views
@@ -59,10 +64,21 @@ add("map_list_projection_ledger", lambda v: v["ledger"].select(*ar.LIST_COLUMNS)
 add("srt_arg_page", lambda v: ar.list_rows(v["ledger"], "cif_total_usd", "asc", 2),
     f'''SELECT {', '.join(ar.LIST_COLUMNS)} FROM ledger
 {order_sql(ar.LIST_COLUMNS, "cif_total_usd", "ASC")} LIMIT 50 OFFSET 50''')
+_EXPORTED = [c for c in ar.EXPORT_COLUMNS if not c.endswith("_usd") and c not in ("quantity", "year")]
+
+
+def exported(v: Views, rows: DataFrame) -> DataFrame:
+    """The download is written and read back; numbers are left out, engines print them differently."""
+    path = scratch(v.spark, "ledger-export")
+    export_ledger(rows, path, "no such column", cap=5000)
+    df = read_csv(v.spark, [path])
+    return df.withColumnRenamed("\ufeffdate", "date").select(*_EXPORTED)
+
+
 add("snk_argentina_export",
-    lambda v: ar.export_rows(ar.LedgerFilter(type="FORMULADO").apply(v["ledger"]), "no such column"),
-    f'''SELECT {', '.join(ar.EXPORT_COLUMNS)} FROM ledger WHERE type = 'FORMULADO'
-{order_sql(ar.EXPORT_COLUMNS, "date")} LIMIT 50''')
+    lambda v: exported(v, ar.LedgerFilter(type="FORMULADO").apply(v["ledger"])),
+    f'''SELECT {', '.join(f"CAST({c} AS STRING) AS {c}" for c in _EXPORTED)} FROM ledger WHERE type = 'FORMULADO'
+{order_sql(ar.EXPORT_COLUMNS, "date")} LIMIT 5000''')
 add("agg_arg_stats", lambda v: rounded(ar.stats(v["ledger"]), "total_cif_usd"), '''
 SELECT count(*) AS total_rows, count(DISTINCT importer) AS distinct_importers,
   count(DISTINCT origin_country) AS distinct_origin_countries, min(date) AS date_min,
@@ -151,15 +167,26 @@ def registrations(v: Views) -> DataFrame:
 
 _LABELLED = '''trim(regexp_replace(regexp_replace(regexp_replace("Composición de Producto",
     'ingrediente activo', '', 'gi'), 'aditivo de importancia toxicol[oó]gica', '', 'gi'), '\\s{2,}', ' ', 'g'), ' ,')'''
+_TURKEY_FIELDS = ("License No", "Plant Protection Product", "Active Ingredient", "Licensed Company",
+                  "License Status", "Formulation", "Remark")
+_ECUADOR_FIELDS = ("N° de Registro", "Nombre Comercial", "Composición de Producto",
+                   "Fabricante / Formulador", "Estado", "Formulación")
+
+
+def _json_sql(fields) -> str:
+    return "'{' || concat_ws(',', " + ", ".join(
+        f"'\"{f}\":' || CAST(to_json(\"{f}\") AS VARCHAR)" for f in fields) + ") || '}'"
+
+
 _REGISTERED = f'''
 WITH r AS (
-  SELECT 'Turkey' AS country, nullif(trim("Plant Protection Product"), '') AS product,
+  SELECT {_json_sql(_TURKEY_FIELDS)} AS raw_json, 'Turkey' AS country, nullif(trim("Plant Protection Product"), '') AS product,
     nullif(trim("Active Ingredient"), '') AS active_ingredient, NULL::VARCHAR AS concentration,
     nullif(trim("Licensed Company"), '') AS company, "License Status" AS status,
     "License No" AS registration_no, nullif(trim("Formulation"), '') AS formulation_type,
     NULL::VARCHAR AS origin, 'Turkey' AS source_sheet FROM raw_turkey
   UNION ALL
-  SELECT 'Ecuador', "Nombre Comercial", nullif({_LABELLED}, ''), NULL, "Fábrica", "Estado",
+  SELECT {_json_sql(_ECUADOR_FIELDS)}, 'Ecuador', "Nombre Comercial", nullif({_LABELLED}, ''), NULL, "Fábrica", "Estado",
     "N° de Registro", "Formulación", NULL, 'ECUADOR'
   FROM (SELECT *, "Fabricante / Formulador" AS "Fábrica" FROM raw_ecuador))
 '''
@@ -215,23 +242,19 @@ add("join_dict_back", lambda v: reg.attach_english(_mapped(v)).select(
     "registration_no", "active_ingredient_en"), _NAMES)
 
 
-_JSON_FIELDS = ("License No", "Plant Protection Product", "Active Ingredient", "Licensed Company",
-                "License Status", "Formulation", "Remark")
+add("map_row_json", lambda v: _mapped(v).select("registration_no", "raw_json"),
+    _FULL + "SELECT registration_no, raw_json FROM g")
 
 
-@query("map_row_json", "SELECT \"License No\" AS registration_no, '{' || concat_ws(',', "
-       + ", ".join(f"'\"{f}\":\"' || \"{f}\" || '\"'" for f in _JSON_FIELDS)
-       + ") || '}' AS raw_json FROM raw_turkey")
-def row_json(v: Views) -> DataFrame:
-    return reg.map_registry(v["raw_turkey"], "Turkey").select("registration_no", "raw_json")
+def _field_sql(view: str, key: str, fields) -> str:
+    return " UNION ALL ".join(
+        f"SELECT \"{key}\" AS registration_no, '{f}' AS field, \"{f}\" AS value FROM {view} "
+        f"WHERE trim(\"{f}\") <> ''" for f in fields)
 
 
-@query("map_json_details", " UNION ALL ".join(
-    f"SELECT \"License No\" AS registration_no, '{f}' AS field, \"{f}\" AS value FROM raw_turkey "
-    f"WHERE trim(\"{f}\") <> ''" for f in _JSON_FIELDS))
-def json_details(v: Views) -> DataFrame:
-    return reg.details(reg.map_registry(v["raw_turkey"], "Turkey")
-                       .select("registration_no", "raw_json"))
+add("map_json_details", lambda v: reg.details(_mapped(v).select("registration_no", "raw_json")),
+    _field_sql("raw_turkey", "License No", _TURKEY_FIELDS) + " UNION ALL "
+    + _field_sql("raw_ecuador", "N° de Registro", _ECUADOR_FIELDS))
 
 
 def _registered(name: str, f: reg.RegistrationFilter, where: str) -> None:
@@ -251,13 +274,12 @@ OR lower(active_ingredient) = 'glifosato 48%' OR lower(active_ingredient_en) = '
 _registered("flt_registration_ingredient", reg.RegistrationFilter(active_ingredient="Lambda Cialotrina"),
             "ai_search LIKE '%lambdacialotrina%'")
 
-_NO_JSON = [c for c in reg.LIST_COLUMNS if c != "raw_json"]
+_LISTED = ", ".join(reg.LIST_COLUMNS)
 add("map_list_projection_registration",
-    lambda v: registrations(v).select(*reg.LIST_COLUMNS).drop("raw_json"),
-    _FULL + f"SELECT {', '.join(_NO_JSON)} FROM g")
-add("srt_reg_page", lambda v: reg.list_rows(registrations(v), "registration_no", "desc", 2, 100)
-    .drop("raw_json"), _FULL + f'''SELECT {", ".join(_NO_JSON)} FROM g
-{order_sql(_NO_JSON, "registration_no")} LIMIT 100 OFFSET 100''')
+    lambda v: registrations(v).select(*reg.LIST_COLUMNS), _FULL + f"SELECT {_LISTED} FROM g")
+add("srt_reg_page", lambda v: reg.list_rows(registrations(v), "registration_no", "desc", 2, 100),
+    _FULL + f'''SELECT {_LISTED} FROM g
+{order_sql(reg.LIST_COLUMNS, "registration_no")} LIMIT 100 OFFSET 100''')
 add("agg_reg_stats", lambda v: reg.stats(registrations(v)), _FULL + '''
 SELECT count(*) AS total_rows, count(DISTINCT country) AS distinct_countries,
   count(DISTINCT active_ingredient) AS distinct_active_ingredients FROM g''')
@@ -270,3 +292,51 @@ add("agg_reg_breakdown_totals", lambda v: reg.breakdown_totals(
     reg.RegistrationFilter(active_ingredient="mancozeb").apply(registrations(v))), _FULL + '''
 SELECT count(*) AS total, count(DISTINCT country) AS distinct_countries FROM g
 WHERE ai_search LIKE '%mancozeb%' ''')
+
+
+# Batch plans: the feeds as files, the table read back.
+
+_LEDGER_SQL = '''
+SELECT date, CAST(CAST(year AS BIGINT) AS DOUBLE) AS year, importer, origin_country, type,
+  CASE WHEN quantity <= 40 THEN quantity END AS quantity, fob_total_usd, transport,
+  'ARGENTINA' AS destination_country, 'IMPORT' AS trade_type, 'ledger.csv' AS source_file FROM ledger'''
+
+
+@query("plan_ledger", _LEDGER_SQL)
+def plan_ledger(v: Views) -> DataFrame:
+    source = scratch(v.spark, "ledger-csv")
+    write_csv(v["raw_ledger"], source)
+    df = sides.build_ledger(v.spark, source, scratch(v.spark, "ledger"), "ledger.csv")
+    return df.select("date", "year", "importer", "origin_country", "type", "quantity", "fob_total_usd",
+                     "transport", "destination_country", "trade_type", "source_file")
+
+
+@query("plan_market", f"SELECT {', '.join(agbio.COLUMNS)}, 'market.csv' AS source_file FROM market")
+def plan_market(v: Views) -> DataFrame:
+    return sides.build_market(v.spark, market_files(v), scratch(v.spark, "market"), "market.csv")
+
+
+@query("plan_registrations", _FULL + f"SELECT {_COMMON}, category, active_ingredient_en, ai_search FROM g")
+def plan_registrations(v: Views) -> DataFrame:
+    sources = {"Turkey": scratch(v.spark, "turkey"), "Ecuador": scratch(v.spark, "ecuador")}
+    for name, path in sources.items():
+        write_csv(v[f"raw_{name.lower()}"], path)
+    df = sides.build_registrations(v.spark, sources, scratch(v.spark, "registrations"))
+    return df.select(*_COMMON.split(", "), "category", "active_ingredient_en", "ai_search")
+
+
+_COVERED = '''substr("HSN", 1, 2) IN ('29', '38') AND CAST("Date" AS STRING) >= '1999-06-01' '''
+
+
+def _prepared(v: Views) -> tuple[DataFrame, DataFrame]:
+    source = scratch(v.spark, "overlap-csv")
+    write_csv(v.shipments, source)
+    return sides.prepare_overlap(v.spark, source, scratch(v.spark, "overlap"), "1999-06-01")
+
+
+add("plan_overlap", lambda v: _prepared(v)[0].select(
+    F.col("BE/SB Number").alias("id"), F.col("HSN").alias("hsn"), F.col("Date").alias("date")),
+    f'''SELECT "BE/SB Number" AS id, "HSN" AS hsn, CAST("Date" AS STRING) AS date FROM shipments
+WHERE NOT ({_COVERED})''')
+add("plan_overlap_audit", lambda v: _prepared(v)[1], f'''
+SELECT substr("HSN", 1, 2) AS chapter, count(*) AS excluded FROM shipments WHERE {_COVERED} GROUP BY 1''')

@@ -178,7 +178,8 @@ FROM {orders} WHERE o_orderpriority <> '5-LOW' GROUP BY 1, 2''',
 
     # Product texts in several languages.
     "texts": '''
-SELECT doc_id, text AS "Product Description" FROM {documents}''',
+SELECT doc_id, text AS "Product Description" FROM {documents}
+UNION ALL SELECT -1, '5 ㎏ ⑩ ㎎/ℓ Ⅷ 𝐀bc' FROM {region}''',
 
     # Import ledger with its own columns.
     "ledger": '''
@@ -254,7 +255,7 @@ SELECT 'TR-' || CAST(id AS STRING) || '-' || CAST(nation AS STRING) AS "License
   CASE p_size % 8 WHEN 0 THEN 'EC' WHEN 1 THEN 'Wettable Powder' WHEN 2 THEN 'Concentrado emulsionable'
     WHEN 3 THEN 'ACTIVE CONSTITUENT' WHEN 4 THEN 'technical' WHEN 5 THEN 'teknik' END
     AS "Formulation",
-  p_type AS "Remark"
+  p_type || ' ' || chr(34) || 'ü' || chr(34) || ' ' || p_brand AS "Remark"
 FROM {registered} WHERE nation < 13''',
 
     "raw_ecuador": '''

@@ -41,30 +41,29 @@ def key_text(text: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Accent tables derived from the Unicode data: one-letter and longer results."""
-    single, longer = {}, []
-    for code in range(0x80, 0x10000):
-        if 0xD800 <= code <= 0xDFFF or 0xAC00 <= code <= 0xD7A3:
-            continue
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """What every code point of Unicode folds to: single letters, and longer results."""
+    single, longer = {}, {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
         out = ascii_fold_text(chr(code))
         if len(out) == 1:
             single[chr(code)] = out
-        elif out and (code < 0x250 or 0x2000 <= code < 0x2190 or 0xFB00 <= code < 0xFB07):
-            longer.append((chr(code), out))
-    return "".join(single), "".join(single.values()), tuple(longer)
+        elif out:
+            longer[chr(code)] = out
+    return "".join(single), "".join(single.values()), longer
 
 
 def fold_accents(c: Column) -> Column:
     """ASCII form of a text: accents dropped, other non-ASCII characters removed.
 
-    Plain ASCII values, the usual case, take the first branch and cost one length check.
+    The same as compatibility decomposition of each character, for all of Unicode. Plain
+    ASCII values, the usual case, take the first branch and cost one length check.
     """
     source, target, longer = _fold_tables()
-    table = F.create_map(*(F.lit(v) for pair in longer for v in pair))
+    table = F.create_map(*(F.lit(v) for pair in longer.items() for v in pair))
     widened = F.array_join(F.transform(
         F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
-    has_longer = c.rlike("[" + "".join(ch for ch, _ in longer) + "]")
+    has_longer = c.rlike("[" + "".join(longer) + "]")
     wide = F.when(has_longer, widened).otherwise(c)
     folded = F.regexp_replace(F.translate(wide, source, target), r"[^\x00-\x7F]", "")
     return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(folded)

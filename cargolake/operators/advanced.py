@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import contains
 from ..schema import DEDUPE_KEY, col
-from .paging import sample_rows, small_side
+from .paging import sample_rows
 
 # Words that say nothing about a product.
 STOPWORDS = (
@@ -28,29 +28,24 @@ SHORTEST_WORD = 3
 
 def duplicates(df: DataFrame, min_occurrences: int = 2, limit: int = 100,
                key: tuple[str, ...] = DEDUPE_KEY) -> DataFrame:
-    """The largest groups of rows that agree on the key, with their source files.
+    """The largest groups of rows that agree on the key: a row for each group and file.
 
-    Most rows have no twin. Counting a hash of the key shuffles a few bytes per row and
-    leaves the rows whose hash occurs often enough; different keys with one hash only add
-    rows to the exact count that follows. The hashes carry no broadcast hint, as there may
-    be many. The files are then gathered for the at most ``limit`` groups reported, and
-    each task sends a file once per group.
+    One grouping by the key and a hash of it ranks the groups; equal rows combine before its
+    shuffle and the hash settles nearly every comparison. Only the files of the at most
+    ``limit`` groups reported are looked up in a second pass, each task sending a file once
+    a group, so a group in very many files is never one value.
     """
     names = list(map(col, key))
     order = [F.desc("occurrences"), *(c.asc_nulls_last() for c in names)]
-    hashed = df.select(*names, "Source File", F.xxhash64(*names).alias("_hash"))
-    often = (hashed.groupBy("_hash").agg(F.count("*").alias("n"))
-             .filter(F.col("n") >= min_occurrences).select("_hash"))
-    rows = hashed.join(often, "_hash", "left_semi").drop("_hash")
-    groups = (rows.groupBy(*names).agg(F.count("*").alias("occurrences"))
+    hashed = df.withColumn("_hash", F.xxhash64(*names))
+    groups = (hashed.groupBy("_hash", *names).agg(F.count("*").alias("occurrences"))
               .filter(F.col("occurrences") >= min_occurrences).orderBy(*order).limit(limit))
-    wanted = groups.select("occurrences", *(col(c).alias(f"_{i}") for i, c in enumerate(key)))
-    same = reduce(and_, (col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(key)))
-    found = (df.select(*names, "Source File").join(small_side(wanted, limit), same)
-             .select(*names, "occurrences", "Source File").distinct())
-    return (found.groupBy(*names, "occurrences")
-            .agg(F.sort_array(F.collect_set("Source File")).alias("source_files"))
-            .orderBy(*order))
+    wanted = groups.select("occurrences", F.col("_hash").alias("_wanted"),
+                           *(col(c).alias(f"_{i}") for i, c in enumerate(key)))
+    same = reduce(and_, (col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(key)),
+                  F.col("_hash") == F.col("_wanted"))
+    return (hashed.join(wanted, same).select(*names, "occurrences", "Source File").distinct()
+            .orderBy(*order, "Source File"))
 
 
 def _of_importer(df: DataFrame, importer: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import contains, strip
 from ..functions.values import number
 from .filters import any_contains
-from .paging import page
+from .paging import narrowed, page
 
 TABLE = "ag_bio_market"
 
@@ -50,7 +50,8 @@ class MarketFilter:
 def list_rows(df: DataFrame, sort_by: str = "total_usd_m", sort_order: str = "desc",
               number: int = 1, size: int = 50) -> DataFrame:
     chosen = sort_by if sort_by in SORTABLE else "total_usd_m"
-    return page(df.select(*COLUMNS), chosen, sort_order, number, size)
+    rows = narrowed(df, chosen, sort_order, number * size).select(*COLUMNS)
+    return page(rows, chosen, sort_order, number, size)
 
 
 def stats(df: DataFrame) -> DataFrame:

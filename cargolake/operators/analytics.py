@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import PARTY_COLUMNS, col
-from .paging import small_side
 
 TREND_KEYS = ("Trade Type", "HS Chapter", "Origin Country", "Destination Country")
 
@@ -135,7 +134,7 @@ def by_hsn(df: DataFrame, limit: int = 50) -> DataFrame:
 
     volume = [F.col(c) for c in ("shipments", "total_value", "total_quantity")]
     keyed = df.select("HSN", "HS Chapter", "Trade Type", "Importer", "Exporter", "Value")
-    return (keyed.join(small_side(ranked.withColumnRenamed("hsn", "_hsn"), limit),
+    return (keyed.join(ranked.withColumnRenamed("hsn", "_hsn"),
                        F.col("HSN") == F.col("_hsn"))
             .groupBy(F.col("_hsn").alias("hsn"), *volume)
             .agg(F.max("HS Chapter").alias("hs_chapter"), F.max("Trade Type").alias("trade_type"),
@@ -144,16 +143,24 @@ def by_hsn(df: DataFrame, limit: int = 50) -> DataFrame:
             .orderBy(*order))
 
 
-def dataset_stats(df: DataFrame) -> DataFrame:
-    return df.agg(
-        F.count("*").alias("total_rows"), F.min("Date").alias("date_min"),
-        F.max("Date").alias("date_max"),
-        F.count_distinct("Importer").alias("distinct_importers"),
-        F.count_distinct("Exporter").alias("distinct_exporters"),
-        F.count_distinct("Supplier").alias("distinct_suppliers"),
-        F.count_distinct("HSN").alias("distinct_hsn"),
-        F.count_distinct(F.coalesce("Origin Country", "Destination Country"))
-        .alias("distinct_countries"))
+def dataset_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """Rows, date range and numbers of distinct values.
+
+    Each exact count is a grouping of its own over one column, which combines before its
+    shuffle; counting several distinct columns at once would copy every row for each. The
+    approximate form is one pass with sketches of fixed size.
+    """
+    places = F.coalesce("Origin Country", "Destination Country")
+    wanted = {"importers": F.col("Importer"), "exporters": F.col("Exporter"),
+              "suppliers": F.col("Supplier"), "hsn": F.col("HSN"), "countries": places}
+    base = [F.count("*").alias("total_rows"), F.min("Date").alias("date_min"),
+            F.max("Date").alias("date_max")]
+    if approximate:
+        return df.agg(*base, *(F.approx_count_distinct(c).alias(f"distinct_{n}")
+                               for n, c in wanted.items()))
+    counts = {f"distinct_{n}": df.select(c.alias("v")).filter("v is not null").distinct()
+              .agg(F.count("*")).scalar() for n, c in wanted.items()}
+    return df.agg(*base).select("*", *(c.alias(n) for n, c in counts.items()))
 
 
 def counts_by(df: DataFrame, name: str) -> DataFrame:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.fuzzy import score
 from ..functions.text import contains, starts_with
 from ..schema import PARTY_COLUMNS, col
 
@@ -35,16 +34,39 @@ def suggest(df: DataFrame, party: str, query: str, limit: int = 10) -> DataFrame
     return found.distinct().orderBy(rank, "name").limit(limit)
 
 
+def _closeness(a: Column, b: Column) -> Column:
+    """1 for equal texts, less the share of the longer one that has to be edited."""
+    longest = F.greatest(F.char_length(a), F.char_length(b), F.lit(1))
+    return 1 - F.levenshtein(a, b) / longest
+
+
+def similarity(name: Column, query: str) -> Column:
+    """Score of 0 to 100 by edit distance, both sides in lower case.
+
+    The best of: the whole texts; their words in order (times 0.95); the query against any
+    word of the name, and the query found inside the name (times 0.9).
+    """
+    wanted, text = query.lower(), F.lower(name)
+    words = F.split(text, " ")
+    ordered = F.lit(" ".join(sorted(wanted.split(" "))))
+    q = F.lit(wanted)
+    best = F.greatest(
+        _closeness(text, q),
+        0.95 * _closeness(F.array_join(F.array_sort(words), " "), ordered),
+        0.9 * F.array_max(F.transform(words, lambda w: _closeness(w, q))),
+        F.when(F.contains(text, q), F.lit(0.9)).otherwise(F.lit(0.0)))
+    return F.round(100 * best, 6)
+
+
 def similar(entities: DataFrame, query: str, limit: int = 10,
             cutoff: float = SCORE_CUTOFF) -> DataFrame:
-    """Best scoring names of ``entity_counts`` against the query.
+    """Best scoring names of ``entity_counts`` against the query, by a top-k.
 
-    Only distinct names are scored, in Arrow batches spread over the tasks, and the best
-    are taken with a top-k.
+    Scores are Column expressions over the distinct names; nothing runs in Python.
     """
     if not query:
         return entities.limit(0).select("name", F.lit(0).alias("score"), "shipments")
-    ranked = entities.withColumn("raw", score(F.col("name"), query))
+    ranked = entities.withColumn("raw", similarity(F.col("name"), query))
     return (ranked.filter(F.col("raw") >= cutoff)
             .orderBy(F.desc("raw"), "name").limit(limit)
             .select("name", F.floor("raw").cast("int").alias("score"), "shipments"))

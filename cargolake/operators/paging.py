@@ -4,27 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import SHIPMENT_COLUMNS, col
+from ..session import scratch
 from .filters import ShipmentFilter
 from .predicates import FIELDS, SORT_FIELDS, Group, PredicateError, apply_tree
 
-EXPORT_ROW_CAP = 1_000_000
-USER_EXPORT_CAP = 50
-
-# Caps up to this size go straight to a top-k; larger ones first find a cut value.
-DIRECT_CAP = 10_000
-
-
-# A ranked result of up to this many rows is small enough to send to every task.
-BROADCAST_ROWS = 10_000
-
-
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """A frame limited to ``rows``, broadcast when that bound is small enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+# Values of the sort column that are looked at to find where a capped export ends.
+CUT_SAMPLE = 50_000
 
 
 def ordering(columns: Iterable[str], sort_by: str, sort_order: str = "desc") -> list[Column]:
@@ -39,6 +30,29 @@ def page(df: DataFrame, sort_by: str, sort_order: str = "desc", number: int = 1,
             .offset((number - 1) * size).limit(size))
 
 
+def page_after(df: DataFrame, last: dict | None, sort_by: str, sort_order: str = "desc",
+               size: int = 50) -> DataFrame:
+    """The page that follows a row, given as that row's values of all columns.
+
+    Unlike an offset it costs the same however deep the page lies: only ``size`` rows are
+    kept. Without a row it is the first page.
+    """
+    columns = [sort_by, *(c for c in df.columns if c != sort_by)]
+    if last is not None:
+        beyond, equal = [], []
+        for c in columns:
+            value, down = last[c], c == sort_by and sort_order != "asc"
+            if value is None:
+                later = F.lit(False)  # NULLs are last already
+            else:
+                later = (col(c) < F.lit(value)) if down else (col(c) > F.lit(value))
+                later = F.coalesce(later, F.lit(True))
+            beyond.append(reduce(and_, [*equal, later]))
+            equal.append(col(c).eqNullSafe(F.lit(value)))
+        df = df.filter(reduce(or_, beyond))
+    return df.orderBy(*ordering(df.columns, sort_by, sort_order)).limit(size)
+
+
 def page_meta(df: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
     """Row total and page count of a filtered frame."""
     total = F.count("*")
@@ -82,53 +96,74 @@ def list_by_tree(df: DataFrame, root: Group | None, sort_by: str | None = None,
                           number, size)
 
 
-def _cut(df: DataFrame, sort_by: str, sort_order: str, cap: int) -> DataFrame:
-    """Rows that can be among the first ``cap``, found from quantiles of the sort column.
+def cut_value(df: DataFrame, sort_by: str, sort_order: str, cap: int):
+    """A value of the sort column that at least ``cap`` rows reach, or None.
 
-    Quantile summaries combine on the map side, so this costs one narrow scan. The cut is
-    only used when a count shows that enough rows pass it.
+    Read off a bounded sample of the column and then counted, so the result never depends
+    on the sample. Runs three jobs over that column.
     """
     key = col(sort_by)
-    if dict(df.dtypes)[sort_by] == "string":
-        # The leading bytes as a number keep the order of the texts.
-        head = F.hex(F.encode(F.substring(key, 1, 7), "utf-8"))
-        key = F.conv(F.rpad(F.substring(head, 1, 14), 14, "0"), 16, 10).cast("long")
-    elif dict(df.dtypes)[sort_by] == "date":
-        key = F.datediff(key, F.lit("1970-01-01").cast("date"))
-    steps = [2.0 ** -i for i in range(1, 24)]
-    at = [1 - s if sort_order == "desc" else s for s in steps]
-    stats = df.agg(F.percentile_approx(key, at, 100_000).alias("cuts")).first()
-    if stats is None or stats["cuts"] is None:
-        return df
-    sides = [(key >= F.lit(v)) if sort_order == "desc" else (key <= F.lit(v))
-             for v in stats["cuts"]]
-    enough = df.agg(*(F.count_if(s).alias(f"n{i}") for i, s in enumerate(sides))).first()
-    for i in reversed(range(len(sides))):
-        if enough[f"n{i}"] >= cap:
-            return df.filter(sides[i])
-    return df
+    values = df.select(key).filter(key.isNotNull())
+    total = values.count()
+    if total < cap:
+        return None
+    share = min(1.0, CUT_SAMPLE / total)
+    rank = math.ceil(cap * share + 6 * math.sqrt(cap * share) + 6)
+    order = key.asc() if sort_order == "asc" else key.desc()
+    end = F.max(key) if sort_order == "asc" else F.min(key)
+    sampled = values.sample(share, 11) if share < 1 else values
+    value = sampled.orderBy(order).limit(rank).agg(end.alias("v")).first()["v"]
+    if value is None or values.filter(_reaches(key, value, sort_order)).count() < cap:
+        return None
+    return value
+
+
+def _reaches(key: Column, value, sort_order: str) -> Column:
+    return key <= F.lit(value) if sort_order == "asc" else key >= F.lit(value)
 
 
 def first_rows(df: DataFrame, sort_by: str, sort_order: str = "desc",
-               cap: int = EXPORT_ROW_CAP) -> DataFrame:
-    """The first ``cap`` rows in order.
+               cap: int | None = None) -> DataFrame:
+    """All rows in order, or the first ``cap`` of them.
 
-    A top-k keeps ``cap`` rows per task and brings them together in one, which is right
-    for a page but not for a million rows out of very many tasks. A large cap therefore
-    first drops the rows that a quantile of the sort column already rules out.
+    The cap is found without bringing the rows together: a value of the sort column that
+    enough rows reach goes to the scan as a literal of the column's own type, what is left
+    is sorted over many tasks and written, and each task's share of the cap follows from
+    the rows that the tasks before it wrote.
     """
-    if cap > DIRECT_CAP:
-        df = _cut(df, sort_by, sort_order, cap)
-    return df.orderBy(*ordering(df.columns, sort_by, sort_order)).limit(cap)
+    order = ordering(df.columns, sort_by, sort_order)
+    if cap is None:
+        return df.orderBy(*order)
+    value = cut_value(df, sort_by, sort_order, cap)
+    if value is not None:
+        df = df.filter(_reaches(col(sort_by), value, sort_order))
+    spark = df.sparkSession
+    path = scratch(spark, "sorted")
+    # the identifier holds the task and, in its lower 33 bits, the row's place there
+    ident = F.monotonically_increasing_id()
+    (df.orderBy(*order).withColumn("_at", ident).write.parquet(path))
+    rows = spark.read.parquet(path)
+    task = F.shiftright("_at", 33)
+    counts = rows.groupBy(task.alias("task")).count().orderBy("task").collect()  # one per task
+    left, whole, part, room = cap, -1, -1, 0
+    for r in counts:
+        if r["count"] > left:
+            part, room = r["task"], left
+            break
+        whole, left = r["task"], left - r["count"]
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    keep = (task <= whole) | ((task == part) & (place < room))
+    return rows.filter(keep).orderBy("_at").drop("_at")
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """A random sample of ``n`` rows of the (already filtered) frame, all when fewer.
+    """A random sample of exactly ``n`` rows of the (already filtered) frame, all when fewer.
 
     Every row draws a number; those above a bound that ``n`` rows stay under with near
-    certainty leave before the sort, so the final task sees little more than ``n`` rows.
+    certainty are ranked behind all others, so a task hands on few more rows than it has
+    under the bound, yet none is lost should they be too few.
     """
     total = df.agg(F.count("*").alias("n")).scalar()
     bound = F.lit(n + 8 * math.sqrt(n) + 20) / F.greatest(total, F.lit(1))
-    return (df.withColumn("_draw", F.rand(seed)).filter(F.col("_draw") <= bound)
-            .orderBy("_draw").limit(n).drop("_draw"))
+    drawn = df.withColumn("_draw", F.rand(seed))
+    return drawn.orderBy(F.col("_draw") > bound, "_draw").limit(n).drop("_draw")

@@ -22,9 +22,11 @@ def build_shipments(spark: SparkSession, source: str, target: str,
     """Read, map, clean, de-duplicate and write every feed below ``source``.
 
     Below ``target`` it writes ``shards`` (cleaned rows), ``shipments`` (the table),
-    ``by_direction``, ``sample``, ``mapping_report`` and ``summary``. Each stage reads what
+    ``by_direction``, ``sample``, ``mapping_report``, ``summary`` and ``totals``. Each stage reads what
     the one before has written, so a lost executor costs its own stage's tasks and no
-    stage is computed twice. Returns the summary.
+    stage is computed twice. Without ``ports`` (port and country; ``feeds.read_ports`` reads
+    a JSON object of them) feeds that state a port only get no destination country; the
+    table is a parameter, as it is data of the user. Returns the summary.
     """
     found = feeds.scan_folder(spark, source)
     # The listing is metadata, one row per file.
@@ -60,7 +62,9 @@ def build_shipments(spark: SparkSession, source: str, target: str,
         seen, "file", "left")
     writers.run_summary(counts, cleaned, failed).write.mode("overwrite").parquet(
         f"{target}/summary")
-    return spark.read.parquet(f"{target}/summary")
+    summary = spark.read.parquet(f"{target}/summary")
+    writers.run_totals(summary).write.mode("overwrite").parquet(f"{target}/totals")
+    return summary
 
 
 def _names(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -25,6 +25,8 @@ def local_session(app: str = "cargolake", cores: str = "*", partitions: int = 8,
                .config("spark.driver.memory", memory)
                .config("spark.ui.enabled", "false")
                .config("spark.sql.shuffle.partitions", str(partitions)))
+    if "spark.checkpoint.dir" not in extra:  # one machine is its own shared folder
+        extra["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="cargolake-")
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -35,8 +37,8 @@ def local_session(app: str = "cargolake", cores: str = "*", partitions: int = 8,
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under the folder all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local session
-    without one falls back to a temporary folder of this machine.
+    The cluster names that folder in ``spark.checkpoint.dir``. ``local_session`` sets it for
+    sessions of one machine; a local session made otherwise gets a folder there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:

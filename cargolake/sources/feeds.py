@@ -70,12 +70,46 @@ def _unique(headers: Iterable[str]) -> list[str]:
     return out
 
 
-def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Header of one file; Spark reads no more of it than its first line."""
-    line = spark.read.text(path).first()
-    if line is None:
-        raise ValueError(f"{path} is empty")
-    return tuple(next(csv.reader([line[0].lstrip("\ufeff")])))
+def _part_files(spark: SparkSession, path: str) -> list:
+    """The files of a path, which may be a folder or a pattern; no job runs."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, todo = [], list(system.globStatus(root) or [])
+    while todo:
+        status = todo.pop(0)
+        if status.isDirectory():
+            todo += [x for x in system.listStatus(status.getPath())
+                     if not x.getPath().getName().startswith(("_", "."))]
+        elif status.getLen():
+            found.append(status.getPath())
+    return sorted(found, key=lambda x: x.toString())
+
+
+def csv_header(spark: SparkSession, path) -> tuple[str, ...]:
+    """Header of one file. Opens the file, reads as many lines as the header has, and runs
+    no job; a quoted name may hold line breaks."""
+    jvm = spark._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path) if isinstance(path, str) else path
+    conf = spark._jsc.hadoopConfiguration()
+    if isinstance(path, str):
+        files = _part_files(spark, path)
+        if not files:
+            raise ValueError(f"{path} is empty")
+        file = files[0]
+    stream = file.getFileSystem(conf).open(file)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+        codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        text = reader.readLine()
+        if text is None:
+            raise ValueError(f"{path} is empty")
+        while text.count('"') % 2 and (more := reader.readLine()) is not None:
+            text += "\n" + more
+    finally:
+        reader.close()
+    return tuple(next(csv.reader([text.removeprefix("\ufeff")])))
 
 
 def _csv(spark: SparkSession, paths: list[str], columns: list[str], header: bool,
@@ -87,13 +121,26 @@ def _csv(spark: SparkSession, paths: list[str], columns: list[str], header: bool
 
 
 def read_csv(spark: SparkSession, paths: list[str], header: tuple[str, ...] | None = None,
-             multi_line: bool = False) -> DataFrame:
-    """Text columns of CSV files that share one header.
+             multi_line: bool = False, threads: int = 16) -> DataFrame:
+    """Text columns of CSV files.
 
-    Short lines are filled with NULL, surplus cells are dropped. Files stay splittable
-    unless ``multi_line`` says that quoted cells hold line breaks.
+    Files are grouped by their headers and the groups united by column name; with
+    ``header`` the caller states that all have that one. Short lines are filled with NULL,
+    surplus cells are dropped. Files stay splittable unless ``multi_line`` says that quoted
+    cells hold line breaks.
     """
-    return _csv(spark, paths, _unique(header or csv_header(spark, paths[0])), True, multi_line)
+    if header is not None:
+        return _csv(spark, paths, _unique(header), True, multi_line)
+    files = [f for path in paths for f in _part_files(spark, path)]
+    if not files:
+        raise ValueError(f"nothing to read in {paths}")
+    with ThreadPoolExecutor(threads) as pool:
+        headers = list(pool.map(lambda f: csv_header(spark, f), files))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, own in zip(files, headers):
+        groups.setdefault(own, []).append(literal_path(file.toString()))
+    frames = [_csv(spark, own, _unique(names), True, multi_line) for names, own in groups.items()]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
 
 
 def read_parquet(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -160,8 +207,12 @@ def union_parts(parts: dict[str, DataFrame]) -> DataFrame:
     """
     if not parts:
         raise ValueError("no parts to read")
-    kept = [df for name, df in parts.items()
-            if name.strip().lower() not in JUNK_PARTS and len(df.columns) > 1 and not df.isEmpty()]
+    wanted = [df for name, df in parts.items()
+              if name.strip().lower() not in JUNK_PARTS and len(df.columns) > 1]
+    # one job for all parts: an empty part among others adds columns only
+    filled = [df.limit(1).select(F.lit(i).alias("part")) for i, df in enumerate(wanted)]
+    seen = {r["part"] for r in reduce(DataFrame.union, filled).collect()} if filled else set()
+    kept = [df for i, df in enumerate(wanted) if i in seen]
     frames = kept or [next(iter(parts.values()))]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -173,14 +224,20 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_positional(spark: SparkSession, path: str, columns: tuple[str, ...],
                     skip: int = 2) -> DataFrame:
-    """One CSV file without usable headers: the first ``skip`` lines go, names are given.
+    """CSV files without usable headers: the first ``skip`` lines of each go, names are given.
 
-    Line numbers are counted inside the file's first split, which comes first in its task,
-    so the file is read in parallel.
+    Lines are counted inside each file's first split, which comes first in its task, so a
+    file is read in parallel. The source delivers a few large files, each a branch of the plan.
     """
-    width = len(csv_header(spark, path))
+    files = _part_files(spark, path)
+    width = len(csv_header(spark, files[0])) if files else 0
     if width != len(columns):
         raise ValueError(f"expected {len(columns)} columns, {path} has {width}")
+    frames = [_skipped(spark, literal_path(f.toString()), columns, skip) for f in files]
+    return reduce(DataFrame.union, frames)
+
+
+def _skipped(spark: SparkSession, path: str, columns: tuple[str, ...], skip: int) -> DataFrame:
     line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     numbered = (_csv(spark, [path], list(columns), False, False)
                 .select("*", line.alias("_line"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.argentina import export_rows
 from ..operators.filters import ShipmentFilter
-from ..operators.paging import EXPORT_ROW_CAP, first_rows
+from ..operators.paging import first_rows
 from ..schema import SHIPMENT_COLUMNS, col
 
 PARTITION = "Reporting Country"
@@ -56,7 +56,7 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 def write_sample(df: DataFrame, path: str, rows: int = 1000) -> None:
     """The first rows by date as CSV."""
-    write_csv(first_rows(df, "Date", cap=rows), path, single_file=True)
+    write_csv(first_rows(df, "Date", cap=rows), path, single_file=True)  # ``rows`` is small
 
 
 def write_by_direction(df: DataFrame, path: str) -> None:
@@ -81,20 +81,25 @@ def _with_bom(df: DataFrame) -> DataFrame:
     return df.select(col(first).alias(BOM + first), *map(col, rest))
 
 
-def export_shipments(df: DataFrame, f: ShipmentFilter, path: str,
-                     cap: int = EXPORT_ROW_CAP) -> None:
-    """Rows of a filter in its order as one CSV download of at most ``cap`` rows."""
-    write_csv(_with_bom(shipment_export(df, f, cap)), path, single_file=True)
+def export_shipments(df: DataFrame, f: ShipmentFilter, path: str, cap: int | None = None,
+                     single_file: bool = False) -> None:
+    """Rows of a filter in its order as a CSV download.
+
+    All rows, or the first ``cap``: compare ``count_rows`` with the cap to know whether it
+    cut. A file per task; one file only when asked for, as a single task then writes it.
+    """
+    write_csv(_with_bom(shipment_export(df, f, cap)), path, single_file)
 
 
-def shipment_export(df: DataFrame, f: ShipmentFilter, cap: int = EXPORT_ROW_CAP) -> DataFrame:
+def shipment_export(df: DataFrame, f: ShipmentFilter, cap: int | None = None) -> DataFrame:
     rows = f.apply(df).select(*map(col, SHIPMENT_COLUMNS))
     return first_rows(rows, f.sort_by or "Date", f.sort_order, cap)
 
 
 def export_ledger(df: DataFrame, path: str, sort_by: str = "date", sort_order: str = "desc",
-                  cap: int = EXPORT_ROW_CAP) -> None:
-    write_csv(_with_bom(export_rows(df, sort_by, sort_order, cap)), path, single_file=True)
+                  cap: int | None = None, single_file: bool = False) -> None:
+    """The ledger as a CSV download; see ``export_shipments``."""
+    write_csv(_with_bom(export_rows(df, sort_by, sort_order, cap)), path, single_file)
 
 
 def run_summary(raw_counts: DataFrame, cleaned: DataFrame,

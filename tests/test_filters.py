@@ -131,10 +131,10 @@ def test_tree_page_checks_its_sort(shipments):
 
 
 @pytest.mark.parametrize("sort_by,order", [("Date", "desc"), ("Value", "asc"), ("Importer", "desc"),
-                                           ("Product Description", "asc")])
+                                           ("Product Description", "asc"), ("Trade Type", "asc")])
 def test_capped_export_equals_full_sort(shipments, monkeypatch, sort_by, order):
     from cargolake.operators import paging
-    monkeypatch.setattr(paging, "DIRECT_CAP", 10)
+    monkeypatch.setattr(paging, "CUT_SAMPLE", 900)
     for cap in (700, 10 ** 6):
         got = first_rows(shipments, sort_by, order, cap).collect()
         want = shipments.orderBy(*paging.ordering(shipments.columns, sort_by, order)).limit(cap).collect()
@@ -147,3 +147,35 @@ def test_sample_is_exact_and_filtered(shipments):
     assert len(rows) == 200 and all(r["Trade Type"] == "IMPORT" for r in rows)
     assert sample_rows(imports, 10 ** 6).count() == imports.count()
     assert sample_rows(imports.filter("false"), 5).count() == 0
+
+
+def test_capped_export_cuts_by_a_literal_of_the_column(spark, shipments, tmp_path):
+    import re
+    from cargolake.operators import paging
+    path = str(tmp_path / "t")
+    shipments.write.parquet(path)
+    stored = spark.read.parquet(path)
+    value = paging.cut_value(stored, "Date", "desc", 100)
+    assert isinstance(value, date) and paging.cut_value(stored, "Date", "desc", 10 ** 7) is None
+    from conftest import plan
+    pushed = re.search(r"PushedFilters: \[([^]]*)", plan(stored.filter(paging._reaches(F.col("Date"), value, "desc"))))
+    assert "GreaterThanOrEqual(Date" in pushed[1]
+
+
+def test_capped_export_of_a_hot_value_stays_spread(shipments):
+    got = first_rows(shipments.repartition(6), "Trade Type", "asc", 2000)
+    assert got.count() == 2000
+
+
+def test_keyset_pages_follow_each_other(shipments):
+    from cargolake.operators import paging
+    rows = shipments.select("Date", "Importer", "Value", "BE/SB Number", "HSN", "Product Description").distinct()
+    for sort_by, order in (("Date", "desc"), ("Importer", "asc")):
+        want = rows.orderBy(*paging.ordering(rows.columns, sort_by, order)).limit(90).collect()
+        got, last = [], None
+        for _ in range(3):
+            part = paging.page_after(rows, last, sort_by, order, 30).collect()
+            got, last = got + part, part[-1].asDict()
+        assert got == want
+    tail = rows.orderBy(*paging.ordering(rows.columns, "Date", "desc")).collect()[-5:]
+    assert paging.page_after(rows, tail[0].asDict(), "Date", "desc").collect() == tail[1:]

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargolake.functions.classify import category
-from cargolake.functions.vocabulary import default_vocabulary, respellings, to_english, vocabulary
+from cargolake.functions.vocabulary import INGREDIENTS, default_vocabulary, name_key, to_english, vocabulary
 from cargolake.operators import agbio, argentina as ar, registration as reg
 
 
@@ -44,12 +44,13 @@ def test_english_names(spark):
 
 
 def test_vocabulary_rules(spark):
-    assert {"tebuconazol", "tebukonazol"} <= respellings("Tebuconazole")
-    assert {"azoxistrobina", "azoksistrobin"} <= respellings("Azoxystrobin")
     table = default_vocabulary()
+    assert set(table) == {name_key(v) for n, own in INGREDIENTS.items() for v in (n, *own)}
     assert len(set(table.values())) == 139 and table["sulfur"] == "Sulphur"
     own = vocabulary([("agua bendita", "Holy water")])
     df = spark.createDataFrame([("Agua bendita 5%",), ("glifosato",)], "v string")
+    unlisted = spark.createDataFrame([("Glifosate 48%",), ("Tebuconazola",)], "v string")
+    assert [r[0] for r in unlisted.select(to_english(F.col("v"))).collect()] == [None, None]
     assert [r[0] for r in df.select(to_english(F.col("v"), own)).collect()] == ["Holy water 5%", None]
 
 
@@ -67,7 +68,7 @@ def test_registry_mapping(spark):
         reg.load({"Atlantis": tc})
     full = reg.load({"Argentina_TC": tc}).first()
     assert full["category"] == "Technical" and full["ai_search"] == "glyphosate glyphosate"
-    assert len(reg.REGISTRIES) == 21 and all(len(v.split()) == 8 for v in reg.REGISTRIES.values())
+    assert len(reg.REGISTRIES) == 21 and all(set(v) <= set(reg.TARGETS) for v in reg.REGISTRIES.values())
     assert reg.country_name("south africa") == "South Africa"
 
 
@@ -91,6 +92,9 @@ def test_ledger_load_and_search(spark):
     assert str(row.pop("date")) == "2020-01-31"
     assert row == {"importer": "ACME", "quantity": None, "fob_total_usd": 5.0, "destination_country": "ARGENTINA",
                    "trade_type": "IMPORT", "source_file": "f.csv"}
+    assert ar.search_terms("a  b AND c and d") == (["a  b", "c", "d"], "and")
+    assert ar.search_terms("x and y OR z") == (["x and y", "z"], "or")
+    assert ar.search_terms("and x") == (["and x"], "and") and ar.search_terms(" ") == ([], "and")
     text = str(ar.term_search("a AND b or c"))
     assert "%a AND b%" in text and "%c%" in text and ar.term_search("  ") is None
 

@@ -74,9 +74,41 @@ def test_ports_document(spark, tmp_path):
 def test_export_file(spark, tmp_path, shipments):
     path = str(tmp_path / "export")
     writers.export_shipments(shipments, ShipmentFilter(sort_by="Value"), path, cap=20)
-    part, = (tmp_path / "export").glob("*.csv")
-    lines = part.read_text(encoding="utf-8").splitlines()
-    assert lines[0].startswith("﻿Date,Importer") and len(lines) == 21 and ",,," in lines[1]
+    parts = [p.read_text(encoding="utf-8").splitlines() for p in sorted((tmp_path / "export").glob("*.csv"))]
+    assert all(p[0].startswith("﻿Date,Importer") for p in parts)
+    assert sum(len(p) - 1 for p in parts) == 20 and ",,," in parts[0][1]
+    writers.export_shipments(shipments, ShipmentFilter(sort_by="Value"), path, cap=20, single_file=True)
+    assert len(list((tmp_path / "export").glob("*.csv"))) == 1
+    assert feeds.read_csv(spark, [path]).columns[0] == "Date"
+
+
+def test_export_ledger_writes_all_rows_by_default(spark, tmp_path):
+    from cargolake.operators import argentina as ar
+    df = spark.range(70).select(*(F.col("id").cast("string").alias(c) for c in ar.EXPORT_COLUMNS))
+    writers.export_ledger(df, str(tmp_path / "ledger"))
+    assert feeds.read_csv(spark, [str(tmp_path / "ledger")]).count() == 70
+    writers.export_ledger(df, str(tmp_path / "few"), cap=9)
+    assert feeds.read_csv(spark, [str(tmp_path / "few")]).count() == 9
+
+
+def test_csv_files_with_other_headers(spark, tmp_path):
+    a = write(tmp_path / "a.csv", "x,y\n1,2\n")
+    b = write(tmp_path / "b.csv", "y,x\n20,10\n")
+    c = write(tmp_path / "c.csv", 'x,"z\nlong"\n5,6\n')
+    df = feeds.read_csv(spark, [a, b])
+    assert sorted(map(tuple, df.select("x", "y").collect())) == [("1", "2"), ("10", "20")]
+    assert feeds.read_csv(spark, [a, c], multi_line=True).columns == ["x", "y", "z\nlong"]
+    assert feeds.csv_header(spark, c) == ("x", "z\nlong")
+
+
+def test_headers_are_read_without_jobs(spark, tmp_path):
+    for i in range(60):
+        write(tmp_path / f"f{i}.csv", "a,b\n1,2\n")
+    spark.sparkContext.setJobGroup("headers", "headers")
+    groups, failed = feeds.group_by_layout(spark, [(str(tmp_path / f"f{i}.csv"), "csv") for i in range(60)])
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not failed and len(groups) == 1
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers")) == 0
 
 
 def test_stored_table_keeps_its_rows(spark, tmp_path, shipments):

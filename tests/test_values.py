@@ -94,3 +94,13 @@ def test_weighted_ratio():
     assert best_match("productdescriptin", ["quantity", "productdescription"], 88) == (
         "productdescription", 97)
     assert best_match("zzzz", ["quantity"], 88) is None
+
+
+def test_accent_fold_agrees_with_unicode_everywhere(spark):
+    import pandas as pd
+    codes = [*range(0x80, 0xD800), *range(0xE000, 0x110000)]
+    chars = spark.createDataFrame(pd.DataFrame({"id": codes, "c": list(map(chr, codes))}))
+    got = chars.select("id", text.fold_accents(F.concat(F.lit("<"), "c", F.lit(">"))).alias("f")).filter("f <> '<>'")
+    found = {r["id"]: r["f"][1:-1] for r in got.collect()}
+    want = {i: f for i in codes if (f := text.ascii_fold_text(chr(i)))}
+    assert found == want
