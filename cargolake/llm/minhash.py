@@ -6,11 +6,12 @@ root. A pair of similarity s meets in some table with probability
 ``(1 - (1 - s**ROWS)**SLOTS)**2``: 0.9999 at 0.75, more above. Small hashes that one text alone
 has can pair with nothing and go before pairing, which loses no meeting.
 
-Texts of equal shingle sets are one node, so exact copies cost nothing here. In each bucket all
-nodes are held against the bucket's leader, on full shingle sets. What is then still apart in a
-bucket is dealt with exactly: shingles that one node alone has bound the overlap it can have
-with any other, and only cross pairs within that bound are verified. No bucket is capped, none
-is gathered in one task, and no pairs are made within what is already linked.
+Texts of equal shingle sets are one node, so exact copies cost nothing here. Shingles that one
+node alone has bound the overlap it can have with any other; pairs beyond that bound are never
+made. In each bucket all nodes are held against the one with the least of its own, on full
+shingle sets; in a group of copies that is nearest to what they were copied from. Of what then
+still stands apart in a bucket all cross pairs within the bound are verified. No bucket is
+capped, none is gathered in one task, and no pairs are made within what is already linked.
 
 A text without words has an empty set and is linked with nothing. Null identifiers rank after
 all others; a group of only such has a null component. Repeated rows are one node.
@@ -86,8 +87,8 @@ def buckets(nodes: DataFrame) -> DataFrame:
     keys = F.flatten(F.transform(first, lambda x: F.transform(
         second, lambda y: F.xxhash64(x["slot"], x["value"], y["slot"], y["value"]))))
     pairs = own.select("node", F.explode(keys).alias("key"))
-    several = pairs.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"))
-    return pairs.join(several.where("n > 1").drop("n"), "key")
+    several = pairs.groupBy("key").count().where("count > 1").select("key")
+    return pairs.join(several, "key", "left_semi")
 
 
 def verified(pairs: DataFrame, node_texts: DataFrame) -> DataFrame:
@@ -127,41 +128,57 @@ def lonely(node_texts: DataFrame) -> DataFrame:
     return owners.where("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
 
 
+def _fits(other: str):
+    """Whether two nodes can be similar, from their sizes and what each shares with any node.
+
+    Similarity 0.75 needs an overlap of 3/7 of both sizes, and neither size above 4/3 of the other.
+    """
+    size, common = F.col(f"{other}_size"), F.col(f"{other}_common")
+    return ((F.col(f"{other}_node") != F.col("node"))
+            & (3 * (size + F.col("size")) <= 7 * F.least(common, "common"))
+            & (100 * F.least(size, "size") >= 75 * F.greatest(size, "size")))
+
+
+def _pairs(joined: DataFrame, other: str) -> DataFrame:
+    return joined.select(F.least(f"{other}_node", "node").alias("a"),
+                         F.greatest(f"{other}_node", "node").alias("b")).distinct()
+
+
 def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Verified links (a, b) between nodes that connect all that is similar."""
     table = stored(buckets(nodes), "buckets")
-    pairs = stored(table.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-                   .distinct(), "pairs")
-    wanted = stored(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "row"), "wanted")
-    node_rows = rows.join(wanted, "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
-    node_texts = stored(node_rows.select(F.col("row").alias("node"), "text"), "texts")
+    wanted = stored(table.select(F.col("node").alias("row")).distinct(), "wanted")
+    # the same plan at every size: texts meet the wanted rows by a merge
+    node_texts = stored(rows.join(wanted.hint("merge"), "row", "left_semi").groupBy("row")
+                        .agg(F.first("text").alias("text"))
+                        .select(F.col("row").alias("node"), "text"), "texts")
+    sizes = nodes.select("node", F.col("n_shingles").alias("size"))
+    bound = stored(wanted.select(F.col("row").alias("node")).join(sizes, "node")
+                   .join(lonely(node_texts), "node", "left")
+                   .select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+                   .where("100 * common >= 75 * size"), "bounds")
+    members = stored(table.join(bound, "node"), "members")
+
+    # first the node of each bucket that has least of its own, the middle of a group of copies
+    middle = members.groupBy("key").agg(
+        F.max(F.struct((F.col("common") / F.col("size")).alias("share"), "node", "size", "common")).alias("m"),
+        F.count(F.lit(1)).alias("n")).where("n > 1")
+    middle = middle.select("key", *(F.col(f"m.{c}").alias(f"m_{c}") for c in ("node", "size", "common")))
+    pairs = stored(_pairs(members.join(middle, "key").where(_fits("m")), "m"), "pairs")
     found = stored(verified(pairs, node_texts), "links")
 
-    # what stands apart in a bucket after that
+    # then what still stands apart in a bucket
     part = components(found)
-    member = (table.join(part, "node", "left")
-              .select("key", "node", F.coalesce("label", "node").alias("label")))
-    counts = member.groupBy("key", "label").count()
+    placed = stored(members.join(part, "node", "left")
+                    .withColumn("label", F.coalesce("label", "node")), "placed")
+    counts = placed.groupBy("key", "label").count()
     main = (counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"),
                                       F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    open_members = stored(member.join(main, "key"), "open")
-    active = stored(open_members.select("node").distinct(), "active")
-    sizes = nodes.select("node", F.col("n_shingles").alias("size"))
-    alone = lonely(node_texts.join(active, "node", "left_semi"))
-    bound = stored(active.join(sizes, "node").join(alone, "node", "left").select(
-        "node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
-        .where("100 * common >= 75 * size"), "bounds")
-    open_members = stored(open_members.join(bound, "node"), "open")
-    stray = open_members.where("label <> main").select(
-        "key", *(F.col(c).alias(f"s_{c}") for c in ("node", "label", "size", "common")))
-    # similarity 0.75 needs an overlap of 3/7 of both sizes, and neither size above 4/3 of the other
-    fits = ((F.col("s_label") != F.col("label"))
-            & (3 * (F.col("s_size") + F.col("size")) <= 7 * F.least("s_common", "common"))
-            & (100 * F.least("s_size", "size") >= 75 * F.greatest("s_size", "size")))
-    cross = (stray.join(open_members, (stray["key"] == open_members["key"]) & fits)
-             .select(F.least("s_node", "node").alias("a"), F.greatest("s_node", "node").alias("b"))
-             .distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = stored(verified(cross, node_texts), "links")
+    apart = stored(placed.join(main, "key"), "apart")
+    stray = apart.where("label <> main").select(
+        F.col("key").alias("s_key"), *(F.col(c).alias(f"s_{c}") for c in ("node", "label", "size", "common")))
+    cross = apart.join(stray, (F.col("s_key") == F.col("key")) & (F.col("s_label") != F.col("label")) & _fits("s"))
+    more = stored(verified(_pairs(cross, "s").join(pairs, ["a", "b"], "left_anti"), node_texts), "links")
     return found.union(more)
 
 
