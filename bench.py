@@ -1,8 +1,9 @@
-"""Headline queries over a stored shipments table, timed warm; prints one JSON line.
+"""The build and the headline queries over its table; prints one JSON line.
 
-``BENCH_SF_DIR`` names the sample tables, ``BENCH_CPUS`` the local cores. The table is built
-once (``build_table``), then each query runs twice unmeasured and ``REPEATS`` times measured;
-its figure is the median. Every result is brought to the driver in full.
+``BENCH_SF_DIR`` names the sample tables, ``BENCH_CPUS`` the local cores. Feeds are written as CSV
+(not timed), the build runs once from them in its default layout (``build`` and its stages), then
+each query runs twice unmeasured and ``REPEATS`` times measured; its figure is the median. The
+value is the sum of the build and of the medians. Every result is brought to the driver in full.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ import tempfile
 import time
 from datetime import date
 
+from cargolake.catalog.feeds import write_named
 from cargolake.catalog.views import Views
-from cargolake.operators import advanced, analytics, cleaning, entities
+from cargolake.operators import advanced, analytics, argentina, entities
 from cargolake.operators.filters import ShipmentFilter
 from cargolake.operators.paging import list_shipments
 from cargolake.operators.predicates import Condition, Group, apply_tree
+from cargolake.plans.build import build_shipments
 from cargolake.session import local_session
-from cargolake.sources.writers import read_table, write_shards
+from cargolake.sources.writers import export_shipments, read_table
 
 WARM_UP, REPEATS = 2, 3
 
@@ -31,14 +34,21 @@ def main() -> None:
     partitions = int(cores) if cores.isdigit() else 8
     spark = local_session("bench", cores, partitions, "8g",
                           **{"spark.ui.showConsoleProgress": "false"})
-    path = os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "shipments")
-
+    work = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    views, stages = Views(spark, folder), {}
+    for name in ("raw_import", "raw_export"):
+        write_named(views[name], f"{work}/feeds/{name}", f"{work}/unnamed/{name}")
     start = time.perf_counter()
-    shipments = Views(spark, folder).shipments
-    write_shards(cleaning.add_search_columns(cleaning.dedupe_across_files(shipments)), path,
-                 by_country=False)
-    timings = {"build_table": time.perf_counter() - start}
-    table = read_table(spark, path)
+    build_shipments(spark, f"{work}/feeds", f"{work}/out", ports=views["ports"], seconds=stages)
+    timings = {"build": time.perf_counter() - start, **{f"build_{k}": v for k, v in stages.items()}}
+    table = read_table(spark, f"{work}/out/shipments")
+    shards = spark.read.parquet(f"{work}/out/shards").filter("_told").drop("_copies", "_told")
+    views["ledger"].write.parquet(f"{work}/ledger")
+    ledger = spark.read.parquet(f"{work}/ledger")
+
+    def export():
+        export_shipments(table, ShipmentFilter(trade_type="IMPORT"), f"{work}/export", cap=100_000)
+        return table.limit(0)
 
     entity_counts = entities.entity_counts(table, "Importer").cache()
     queries = {
@@ -56,7 +66,7 @@ def main() -> None:
         "monthly_trend": lambda: analytics.monthly(table),
         "country_analysis": lambda: analytics.by_country(table),
         "hsn_analysis": lambda: analytics.by_hsn(table),
-        "duplicates": lambda: advanced.duplicates(table),
+        "duplicates": lambda: advanced.duplicates(shards),
         "supplier_concentration": lambda: advanced.concentration(table, "00001"),
         "keywords": lambda: advanced.keywords(table),
         "keywords_sample_100k": lambda: advanced.keywords(table, sample_size=100_000),
@@ -64,6 +74,8 @@ def main() -> None:
         "similar_cold": lambda: entities.similar(entities.entity_counts(table, "Importer"), "custmer#000000042"),
         "similar_warm": lambda: entities.similar(entity_counts, "custmer#000000042"),
         "dataset_stats": lambda: analytics.dataset_stats(table),
+        "ledger_page": lambda: argentina.list_rows(ledger, "cif_total_usd", number=3),
+        "export_100k": export,
     }
     for name, query in queries.items():
         runs = []
@@ -73,8 +85,8 @@ def main() -> None:
             runs.append(time.perf_counter() - start)
         timings[name] = statistics.median(runs[WARM_UP:])
     spark.stop()
-    total = sum(v for k, v in timings.items() if k != "build_table")
-    print(json.dumps({"metric": "sum of warm median seconds of the headline queries",
+    total = sum(v for k, v in timings.items() if not k.startswith("build_"))
+    print(json.dumps({"metric": "seconds of the build and the warm medians of the headline queries",
                       "value": round(total, 3), "unit": "sec",
                       "queries": {k: round(v, 3) for k, v in timings.items()},
                       "sf": os.path.basename(os.path.normpath(folder))}))

@@ -375,8 +375,17 @@ def consolidate(v: Views) -> DataFrame:
 
 _PARTNER = f'''coalesce({_foreign('"Country_of_Origin"')}, {_foreign('r."Country"')},
     {_foreign('"Importing Country"')}, {_foreign("port_country")})'''
+_VALUE = f'''CASE WHEN {_num('"Total_Ass_Value"')} IS NULL THEN {_num('"Quantity"')} * {_num('"Unit_Price"')}
+  ELSE {_num('"Total_Ass_Value"')} END'''
+_ADDRESS = '''array_to_string(list_filter(["Importer_Add_01", "Importer_Add_02", "Importer_Add_03"],
+  lambda x: x <> ''), ' | ')'''
 _MAPPED = f'''
-SELECT "BE_Date" AS "Date", coalesce(nullif(trim("ImporterName"), ''), nullif(trim("Consignee Name"), ''))
+SELECT {_VALUE} AS "Value", CASE WHEN upper("INVOICE_CURRENCY") = 'USD' AND "Invoice_Unit_Price_FC" IS NOT NULL
+    THEN {_num('"Invoice_Unit_Price_FC"')} WHEN home IN ('TURKEY', 'COLOMBIA') AND {_num('"Quantity"')} > 0
+    THEN round(({_VALUE}) / {_num('"Quantity"')}, 4) END AS "Unit Price USD",
+  {_ADDRESS} AS "Importer Address", NULL::VARCHAR AS "IEC", NULL::VARCHAR AS "CHA Name",
+  NULL::VARCHAR AS "Exporter Address", NULL::VARCHAR AS "Supplier Address", NULL::VARCHAR AS "Buyer Address",
+  NULL::VARCHAR AS "City", NULL::VARCHAR AS "State", "BE_Date" AS "Date", coalesce(nullif(trim("ImporterName"), ''), nullif(trim("Consignee Name"), ''))
     AS "Importer", NULL::VARCHAR AS "Exporter",
   coalesce(nullif(trim("SupplierName"), ''), nullif(trim("Shipper Name"), '')) AS "Supplier",
   NULL::VARCHAR AS "Buyer", "CTH_HSCODE" AS "HSN",
@@ -396,10 +405,10 @@ LEFT JOIN (SELECT lower(port) AS port_key, country AS port_country FROM ports) p
 def canonical(v: Views) -> DataFrame:
     raw = v["raw_import"]
     df = m.map_feed(raw, F.col("file_name"), ports=v["ports"], headers=_headers(raw))
-    dropped = ("Value", "Unit Price USD", "IEC", "CHA Name", "Importer Address", "Exporter Address",
-               "Supplier Address", "Buyer Address", "City", "State")
     assert tuple(df.columns) == SHIPMENT_COLUMNS
-    return df.drop(*dropped)
+    for name in ("Value", "Unit Price USD"):
+        df = _as_number(name, name)(df)
+    return df
 
 
 # Sinks and the whole build.
@@ -473,7 +482,7 @@ def run_summary(v: Views) -> DataFrame:
         *(col(c).cast("string").alias(c) for c in raw.columns))))
 
 
-def _write_named(raw: DataFrame, target: str, work: str) -> None:
+def write_named(raw: DataFrame, target: str, work: str) -> None:
     """CSV files that bear the names in ``file_name``: written by folder, then moved.
 
     Large names come in several files, each in a folder of its own.
@@ -493,10 +502,42 @@ def _write_named(raw: DataFrame, target: str, work: str) -> None:
 
 
 @query("build_shipments", '''
-WITH e AS (SELECT "SB No" AS id, file_name FROM raw_export UNION ALL SELECT "BE_NO", file_name FROM raw_import)
-SELECT file_name AS file, true AS success, count(*) AS rows_in, NULL::VARCHAR AS error FROM e GROUP BY 1''')
+WITH e AS (SELECT file_name, count(*) AS n FROM (SELECT DISTINCT * FROM raw_export) GROUP BY 1
+           UNION ALL SELECT file_name, count(*) FROM (SELECT DISTINCT * FROM raw_import) GROUP BY 1),
+r AS (SELECT file_name FROM raw_export UNION ALL SELECT file_name FROM raw_import)
+SELECT r.file_name AS file, true AS success, count(*) AS rows_in, max(n) AS rows_out, NULL::VARCHAR AS error
+FROM r JOIN e ON r.file_name = e.file_name GROUP BY 1''')
 def build(v: Views) -> DataFrame:
+    return build_shipments(v.spark, *_feeds(v), ports=v["ports"])
+
+
+def _feeds(v: Views) -> tuple[str, str]:
     source, target = scratch(v.spark, "feeds"), scratch(v.spark, "built")
     for name in ("raw_import", "raw_export"):
-        _write_named(v[name], f"{source}/{name}", scratch(v.spark, "unnamed"))
-    return build_shipments(v.spark, source, target, ports=v["ports"]).drop("rows_out")
+        write_named(v[name], f"{source}/{name}", scratch(v.spark, "unnamed"))
+    return source, target
+
+
+_BUILT = ("Importer", "Exporter", "Supplier", "Buyer", "HSN", "Port", "Unit", "Currency", "Product Description",
+          "Trade Type", "Reporting Country", "BE/SB Number", "Mode", "Importer Address", "Source File")
+
+
+def _up(c: str) -> str:
+    return f"upper(nullif(trim({c}), ''))"
+
+
+@query("build_table", f'''
+WITH i AS (SELECT DISTINCT * FROM raw_import)
+SELECT coalesce(nullif(trim("ImporterName"), ''), nullif(trim("Consignee Name"), '')) AS "Importer",
+  NULL::VARCHAR AS "Exporter", coalesce(nullif(trim("SupplierName"), ''), nullif(trim("Shipper Name"), '')) AS "Supplier",
+  NULL::VARCHAR AS "Buyer", substr(regexp_replace("CTH_HSCODE", '[^0-9]', '', 'g'), 1, 8) AS "HSN",
+  coalesce(nullif(trim("Port of Destination"), ''), "Port of Shipment") AS "Port", {_up('"UQC"')} AS "Unit",
+  {_up('"INVOICE_CURRENCY"')} AS "Currency", trim("Product_Descriptin") AS "Product Description",
+  'IMPORT' AS "Trade Type", {_HOME} AS "Reporting Country", "BE_NO" AS "BE/SB Number", {_up('"Mode of Shipment"')} AS "Mode",
+  {_ADDRESS} AS "Importer Address", file_name AS "Source File" FROM i''')
+def built_table(v: Views) -> DataFrame:
+    """The import rows of the stored table, text columns."""
+    source, target = _feeds(v)
+    build_shipments(v.spark, source, target, ports=v["ports"])
+    table = writers.read_table(v.spark, f"{target}/shipments")
+    return table.filter(F.col("Trade Type") == "IMPORT").select(*map(col, _BUILT))

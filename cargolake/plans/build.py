@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,7 +19,7 @@ def build_shipments(spark: SparkSession, source: str, target: str,
                     limit: int | None = None, sample_rows: int = 1000,
                     search_columns: bool = True, multi_line: bool = False,
                     stamped: tuple[str, ...] = STAMPED_COLUMNS,
-                    by_country: bool = True) -> DataFrame:
+                    by_country: bool = True, seconds: dict[str, float] | None = None) -> DataFrame:
     """Read, map, clean, de-duplicate and write every feed below ``source``.
 
     Below ``target`` it writes ``shards`` (cleaned rows), ``shipments`` (the table),
@@ -26,8 +27,17 @@ def build_shipments(spark: SparkSession, source: str, target: str,
     the one before has written, so a lost executor costs its own stage's tasks and no
     stage is computed twice. Without ``ports`` (port and country; ``feeds.read_ports`` reads
     a JSON object of them) feeds that state a port only get no destination country; the
-    table is a parameter, as it is data of the user. Returns the summary.
+    table is a parameter, as it is data of the user. ``seconds`` receives what each stage took.
+    Returns the summary.
     """
+    began = time.perf_counter()
+
+    def stage(name: str) -> None:
+        nonlocal began
+        if seconds is not None:
+            seconds[name] = time.perf_counter() - began
+        began = time.perf_counter()
+
     found = feeds.scan_folder(spark, source)
     # The listing is metadata, one row per file.
     listed = [(r["path"], r["suffix"])
@@ -36,6 +46,7 @@ def build_shipments(spark: SparkSession, source: str, target: str,
     if not groups:
         raise RuntimeError(f"no readable feed below {source}")
 
+    stage("list")
     mapped, reports = [], []
     for layout, paths in groups.items():
         raw, names = feeds.read_group(spark, layout, paths, multi_line)
@@ -45,12 +56,14 @@ def build_shipments(spark: SparkSession, source: str, target: str,
     # The feeds are read once: the shards carry how often each row occurred.
     rows = distinct_rows(typed(reduce(DataFrame.unionByName, mapped)), stamped)
     writers.write_stage(rows, f"{target}/shards")
+    stage("shards")
     shards = spark.read.parquet(f"{target}/shards")
     cleaned = shards.filter("_told").drop("_copies", "_told")
 
     table = dedupe_across_files(cleaned)
     writers.write_shards(add_search_columns(table) if search_columns else table,
                          f"{target}/shipments", by_country)
+    stage("table")
     shipments = writers.read_table(spark, f"{target}/shipments")
 
     writers.write_by_direction(shipments, f"{target}/by_direction")
@@ -64,6 +77,7 @@ def build_shipments(spark: SparkSession, source: str, target: str,
         f"{target}/summary")
     summary = spark.read.parquet(f"{target}/summary")
     writers.run_totals(summary).write.mode("overwrite").parquet(f"{target}/totals")
+    stage("reports")
     return summary
 
 
