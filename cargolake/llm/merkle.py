@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import parts, text_bytes, texts
 
 LEAVES = (4, 4, 8, 8, 16, 16, 32, 32, 48)
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 #: Bytes of a hash within the tree and of what is kept of a leaf's; the root has 16.
 WIDE, SHORT = 8, 5
 
@@ -189,7 +189,7 @@ def against_edits(docs: DataFrame) -> DataFrame:
     dealt = (rows.withColumn("copy", F.explode(copies))
              .select(F.col("copy.to").alias("to"), F.col("copy.guest").alias("guest"), "doc_id", "text",
                      F.xxhash64("text").alias("tie"))
-             .repartition(max(1, len(order)), "to")
+             .repartitionById(len(bounds) + 2, F.col("to").cast("int"))
              .sortWithinPartitions("to", "guest", F.col("doc_id").desc_nulls_last(), "tie"))
 
     def run(batches):
