@@ -42,11 +42,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: More partitions than this cost a scheduler more than they save; beyond, partitions grow.
+MOST_PARTITIONS = 100_000
+
+
 def parts(rows: int, each: int) -> int:
-    """Partitions so that each holds about so many rows; grows with the input."""
+    """Groups so that each holds about so many rows; grows with the input."""
     return max(1, -(-rows // each))
 
 
+def partitions(rows: int, each: int) -> int:
+    """The same for partitions of a shuffle."""
+    return min(MOST_PARTITIONS, parts(rows, each))
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -19,7 +19,7 @@ import string
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import parts, stored, text_bytes, texts
+from .common import partitions, stored, text_bytes, texts
 
 #: Bytes of labels and nodes that a task's trie may hold.
 BUDGET = 48 << 20
@@ -174,7 +174,7 @@ def owners(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
                         F.col("doc_id").alias("low"), F.col("doc_id").alias("high"),
                         F.lit(1).cast("long").alias("rows"))
     local = keyed.mapInArrow(collapse(as_entries, budget), ENTRY)
-    dealt = local.repartition(parts(text_bytes(rows), TASK_BYTES), "size", "text_hash")
+    dealt = local.repartition(partitions(text_bytes(rows), TASK_BYTES), "size", "text_hash")
     found = dealt.select("text", "low", "high", "rows").mapInArrow(collapse(as_owners, budget), OWNER)
     # a null identifier is below every other, so it makes the least one null
     low = F.when(F.count("low") < F.count(F.lit(1)), None).otherwise(F.min("low"))

@@ -21,7 +21,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import parts, stored, text_bytes, texts
+from .common import partitions, stored, text_bytes, texts
 
 MIN_CHARS, MIN_DOCS = 20, 3
 HEAVY = 1_000
@@ -66,7 +66,7 @@ def dropped(rows: DataFrame, least: int = MIN_CHARS, docs: int = MIN_DOCS) -> Da
     share = min(1.0, SAMPLE_ROWS / 8 / max(1, n_rows))
     heavy = stored(heavy_keys(line_keys(rows.sample(share, 7) if share < 1 else rows, least)), "heavy")
     light = keys.join(F.broadcast(heavy), ["h1", "h2"], "left_anti")
-    dealt = light.repartitionByRange(parts(n_bytes, RANGE_BYTES), "h1", "h2")
+    dealt = light.repartitionByRange(partitions(n_bytes, RANGE_BYTES), "h1", "h2")
     order = F.col("doc_id").desc_nulls_last()
     rank = F.dense_rank().over(W.partitionBy("h1", "h2").orderBy(order))
     several = F.max("rank").over(W.partitionBy("h1", "h2"))

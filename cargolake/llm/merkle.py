@@ -19,6 +19,7 @@ empty or null text has a root and no sections; two such are alike.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ from .common import parts, text_bytes, texts
 
 LEAVES = (4, 4, 8, 8, 16, 16, 32, 32, 48)
 RANGE_BYTES = 8 << 20
+#: Beyond half a terabyte ranges grow instead; they are sorted and streamed, never held.
+MOST_RANGES = 65_536
 #: Bytes of a hash within the tree and of what is kept of a leaf's; the root has 16.
 WIDE, SHORT = 8, 5
 
@@ -163,26 +166,31 @@ EDITED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 def against_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and its edited text, and likenesses to that and to the next document."""
     rows = texts(docs)
-    ranges = parts(text_bytes(rows), RANGE_BYTES)
+    ranges = min(MOST_RANGES, parts(text_bytes(rows), RANGE_BYTES))
     # bounds of the ranges: one number for each partition, not for each row
     shares = [k / ranges for k in range(1, ranges)]
     bounds = sorted(set((rows.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] or []) if shares else []))
-    # range 0 has the greatest identifiers; null is below all
-    limits = F.array(*(F.lit(x) for x in bounds)).cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(
-        F.size(F.filter(limits, lambda x: x > F.col("doc_id"))))
+    # range 0 has the greatest identifiers; null is below all. Bounds are searched in two
+    # steps: which block of them, then where in the block
+    step = max(1, math.isqrt(len(bounds)))
+    blocks = [bounds[k:k + step] for k in range(0, len(bounds), step)]
+    longs = lambda x: F.lit(x).cast("array<long>") if x else F.array().cast("array<long>")
+    at = F.col("doc_id")
+    passed = F.size(F.filter(longs([b[-1] for b in blocks]), lambda x: x <= at))
+    block = F.get(F.array(*map(longs, [*blocks, []])), passed)
+    below = passed * step + F.size(F.filter(block, lambda x: x <= at))
+    bucket = F.when(at.isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - F.least(below, F.lit(len(bounds))))
     heads = (rows.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("head")).orderBy("bucket").collect())
     order = [(r["bucket"], r["head"]) for r in heads]
     # each range's first document goes to the range before as well; the very first after the last
-    sends = {}
-    for k, (own, head) in enumerate(order):
-        sends[head] = (own, order[k - 1][0])
+    before = [0] * (len(bounds) + 2)
+    for k, (own, _) in enumerate(order):
+        before[own] = order[k - 1][0]
     rows = rows.withColumn("bucket", bucket)
-    known = [h for h in sends if h is not None]
-    target = F.when(F.col("doc_id").isin(known), F.element_at(
-        F.create_map(*(F.lit(x) for h in known for x in (h, sends[h][1]))), F.col("doc_id"))) if known else F.lit(None)
-    if None in sends:
-        target = F.when(F.col("doc_id").isNull(), F.lit(sends[None][1])).otherwise(target)
+    first = F.col("doc_id").isin([h for _, h in order if h is not None])
+    if any(h is None for _, h in order):
+        first = F.col("doc_id").isNull() | F.coalesce(first, F.lit(False))
+    target = F.when(first, F.get(F.lit(before), F.col("bucket")))
     copies = F.when(target.isNull(), F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guest")))).otherwise(
         F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guest")),
                 F.struct(target.cast("int").alias("to"), F.lit(True).alias("guest"))))

@@ -15,7 +15,6 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -117,17 +116,16 @@ def placed(pieces: DataFrame, size: int = 2048) -> DataFrame:
     groups = parts(pieces.count(), GROUP)
     columns = pieces.columns
 
-    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        found = best_fit(rows["length"].tolist(), size)
-        rows["sequence_id"] = [int(key[0]) << 32 | s for s, _ in found]
-        rows["offset"] = [o for _, o in found]
-        return rows[[*columns, "sequence_id", "offset"]]
+    def pack(key, rows):
+        rows = rows.select(columns).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        found = best_fit(rows.column("length").to_pylist(), size)
+        ids = [key[0].as_py() << 32 | s for s, _ in found]
+        return (rows.append_column("sequence_id", pa.array(ids, pa.int64()))
+                .append_column("offset", pa.array([o for _, o in found], pa.int64())))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(
-        lambda key, rows: pack(key, rows.drop(columns="_group")), schema)
+    return dealt.groupBy("_group").applyInArrow(pack, schema)
 
 
 def pack(docs: DataFrame, path: str, size: int = 2048) -> DataFrame:

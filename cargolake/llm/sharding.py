@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import parts, stored
+from .common import partitions, stored
 
 BUCKET_ROWS = 1_000
 SEED = "interleave-1"
@@ -47,7 +47,7 @@ def shards(docs: DataFrame, count: int = 24, seed: str = SEED) -> DataFrame:
     rows = stored(rows, "rows")
     sources = ["source", "no_source"]
     total = rows.count()
-    buckets = parts(total, BUCKET_ROWS)
+    buckets = partitions(total, BUCKET_ROWS)
     # the first 32 bits of the hash, as a fraction of their range
     slice_of = (F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long")
     order = ["shuffle", "doc_id", "text_crc32", "size"]

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import packed, parts, ragged, stored, text_bytes, texts
+from .common import packed, partitions, parts, ragged, stored, text_bytes, texts
 from .shingles import mix, prefix_hashes, span_hashes
 
 MATCH, GRAM = 50, 24
@@ -292,7 +292,7 @@ def _sends(step: int, n_parts: int):
 def _steps(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Rows with their block, the bits of all four steps, and the number of parts."""
     total = text_bytes(rows)
-    n_blocks, n_parts = parts(total, BLOCK_BYTES), parts(total, PART_BYTES)
+    n_blocks, n_parts = parts(total, BLOCK_BYTES), partitions(total, PART_BYTES)
     dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"),
                         F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text", "row")
     empty = pa.table({c: pa.array([], t) for c, t in (("step", pa.int32()), ("part", pa.int64()), ("bits", pa.binary()))})
