@@ -21,12 +21,12 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import partitions, stored, text_bytes, texts
+from .common import partitions, stored, texts
 
 MIN_CHARS, MIN_DOCS = 20, 3
 HEAVY = 1_000
 SAMPLE_ROWS = 200_000
-RANGE_BYTES = 24 << 20
+RANGE_ROWS = 100_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -59,22 +59,20 @@ def heavy_keys(keys: DataFrame) -> DataFrame:
 
 def dropped(rows: DataFrame, least: int = MIN_CHARS, docs: int = MIN_DOCS) -> DataFrame:
     """(row, bitmap): for every row with lines to drop, the marked 64-bit words of its bitmap."""
-    size = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    n_bytes, n_rows = size[0] or 0, size[1]
-    keys = line_keys(rows, least)
-    # a sample of documents of bounded expected size
-    share = min(1.0, SAMPLE_ROWS / 8 / max(1, n_rows))
-    heavy = stored(heavy_keys(line_keys(rows.sample(share, 7) if share < 1 else rows, least)), "heavy")
+    # texts are split once; what follows reads keys only
+    keys = stored(line_keys(rows, least), "keys")
+    total = keys.count()
+    share = min(1.0, SAMPLE_ROWS / max(1, total))
+    heavy = stored(heavy_keys(keys.sample(share, 7) if share < 1 else keys), "heavy")
     light = keys.join(F.broadcast(heavy), ["h1", "h2"], "left_anti")
-    dealt = light.repartitionByRange(partitions(n_bytes, RANGE_BYTES), "h1", "h2")
+    dealt = light.repartitionByRange(partitions(total, RANGE_ROWS), "h1", "h2")
     order = F.col("doc_id").desc_nulls_last()
     rank = F.dense_rank().over(W.partitionBy("h1", "h2").orderBy(order))
     several = F.max("rank").over(W.partitionBy("h1", "h2"))
     streamed = (dealt.withColumn("rank", rank).withColumn("documents", several)
                 .where((F.col("documents") >= docs) & (F.col("rank") > 1)).select("row", "place"))
     # frequent keys: combined before the shuffle, results of at most HEAVY rows
-    often = stored(keys.join(F.broadcast(heavy), ["h1", "h2"], "left_semi")
-                   .select("h1", "h2", "row", "doc_id", "place"), "often")
+    often = keys.join(F.broadcast(heavy), ["h1", "h2"], "left_semi")
     owner = (often.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
              .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= docs))
     hot = (often.join(F.broadcast(owner), ["h1", "h2"])
@@ -89,7 +87,8 @@ def dedup(docs: DataFrame, least: int = MIN_CHARS, in_docs: int = MIN_DOCS) -> D
     """doc_id, n_lines, n_dropped and the text that is left, of every row."""
     rows = numbered(docs)
     bitmaps = stored(dropped(rows, least, in_docs), "bitmaps")
-    joined = rows.join(bitmaps, "row", "left").withColumn("lines", _lines(F.col("text")))
+    # the same plan at every size: texts meet their bitmaps by a merge
+    joined = rows.join(bitmaps.hint("merge"), "row", "left").withColumn("lines", _lines(F.col("text")))
     kept = F.when(F.col("bitmap").isNull(), F.col("lines")).otherwise(F.expr(
         "filter(lines, (line, i) -> coalesce(shiftright(bitmap[bigint(i) div 64], i % 64) & 1L, 0L) = 0L)"))
     return joined.withColumn("kept", kept).select(
