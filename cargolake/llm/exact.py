@@ -199,9 +199,10 @@ def dedup(docs: DataFrame, keep: str = "high", budget: int = BUDGET) -> DataFram
     columns = docs.columns
     rows = docs.select(F.struct(*(docs[c] for c in columns)).alias("_row"),
                        F.col("doc_id").cast("long").alias("_id"), digest.alias("_digest"))
-    same = (rows["_id"].eqNullSafe(kept["doc_id"])) & (rows["_digest"] == kept["text_sha256"])
-    once = rows.join(kept.where("count = 1"), same, "left_semi")
-    several = rows.join(kept.where("count > 1"), same, "left_semi")
+    kept = kept.select(F.col("doc_id").alias("_kept"), "text_sha256", "count").hint("merge")
+    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("text_sha256"))
+    found = rows.join(kept, same).select("_row", "_id", "_digest", "count")
+    once, several = found.where("count = 1"), found.where("count > 1")
     one = several.groupBy("_id", "_digest").agg(F.first("_row").alias("_row"))
     return once.select("_row.*").unionByName(one.select("_row.*"))
 

@@ -211,4 +211,4 @@ def dedup(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), F.coalesce(docs["text"], F.lit("")))
     columns = docs.columns
     rows = docs.select(F.struct(*(docs[c] for c in columns)).alias("_row"), key.alias("_key"))
-    return rows.join(found, rows["_key"] == found["text_row"], "left_semi").select("_row.*")
+    return rows.join(found.hint("merge"), F.col("_key") == F.col("text_row"), "left_semi").select("_row.*")

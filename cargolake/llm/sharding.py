@@ -67,16 +67,3 @@ def shards(docs: DataFrame, count: int = 24, seed: str = SEED) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.when(~F.col("no_source"), F.col("source")).alias("source"),
                        "shard", (F.col("at") - first).cast("long").alias("slot"))
 
-
-ORACLE_SQL = f"""
-WITH r AS (
-  SELECT doc_id, source, text, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS h,
-         coalesce(strlen(text), 0) + 8 AS size FROM documents),
-f AS (
-  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1)
-            / CAST(2 * count(*) OVER (PARTITION BY source) AS DOUBLE) AS fraction FROM r),
-g AS (
-  SELECT *, row_number() OVER (ORDER BY fraction, source, h, doc_id) - 1 AS at,
-         count(*) OVER () AS n FROM f)
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(at * 24 // n AS INTEGER) AS shard,
-       CAST(at - ((at * 24 // n) * n + 23) // 24 AS BIGINT) AS slot FROM g"""
