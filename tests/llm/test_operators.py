@@ -460,12 +460,27 @@ def test_pipeline(spark, docs, labels, rows, tmp_path):
     import corpus_pipeline
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    step, kept = docs, [len(rows)]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        step = stage(spark, step, str(tmp_path))
-        assert step.columns == docs.columns, name
-        kept.append(step.count())
-    assert kept == sorted(kept, reverse=True) and kept[-1] == kept[-2] < kept[1]
+
+    def pairs(df):
+        return Counter((r["doc_id"], r["text"]) for r in df.collect())
+    stage = dict(corpus_pipeline.STAGES)
+    assert list(stage) == ["quality", "exact", "near", "secrets", "pack"]
+    good = stage["quality"](spark, docs, str(tmp_path))
+    scores = {(r["doc_id"], r["score"]) for r in quality.scored(docs, quality.train(docs, labels)).collect()}
+    assert {r["doc_id"] for r in good.collect()} == {d for d, s in scores if s >= quality.MIN_SCORE}
+    # the same rows by brute force, one stage after the other
+    before = plain(list(pairs(good).elements()))
+    kept = {(d, t.translate(LOWER)) for (d, t), w in zip(before, brute_exact(before)) if w[3]}
+    single = stage["exact"](spark, good, str(tmp_path))
+    assert Counter((d, (t or "").translate(LOWER)) for d, t in pairs(single).elements()) == Counter(kept)
+    before = plain(list(pairs(single).elements()))
+    apart = stage["near"](spark, single, str(tmp_path))
+    want = Counter(x for x, w in zip(before, brute_near(before)) if w[3])
+    assert Counter((d, t or "") for d, t in pairs(apart).elements()) == want
+    clean = stage["secrets"](spark, apart, str(tmp_path))
+    assert Counter(r["doc_id"] for r in clean.collect()) == Counter(d for d, _ in want.elements())
+    assert not any(brute_base(r["text"] or "") for r in clean.collect())
+    for step in (good, single, apart, clean):
+        assert step.columns == docs.columns
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert len({r["doc_id"] for r in got if r["doc_id"] is not None}) > 0
-    assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(r["doc_id"] for r in step.collect())
+    assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(r["doc_id"] for r in clean.collect())

@@ -1,0 +1,48 @@
+"""Registered queries on the smallest sample: columns of the contract, and SQL where it can express them."""
+from collections import Counter
+from pathlib import Path
+
+import pytest
+
+duckdb = pytest.importorskip("duckdb")
+pytest.importorskip("public_tokenizers")
+
+from cargolake.llm import queries  # noqa: E402
+
+DATA = "/root/testdata/sf0.001"
+COLUMNS = {
+    "op1_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op2_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op3_minhash": "doc_id n_shingles component_id kept",
+    "op4_best_fit": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op5_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op6_stratified_shards": "doc_id size text_crc32 law shard slot grown_shard",
+    "op7_line_dedup": "doc_id n_lines n_dropped kept_sha256",
+    "op8_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+    "op9_merkle": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op10_crf_quality": "doc_id held_out score predicted",
+}
+
+
+@pytest.fixture(scope="module", autouse=True)
+def data():
+    if not Path(DATA).exists():
+        pytest.skip("sample tables are not there")
+
+
+@pytest.mark.parametrize("name", list(COLUMNS))
+def test_query(spark, name):
+    df = queries.queries()[name](spark, DATA)
+    assert set(COLUMNS[name].split()) <= set(df.columns)
+    rows = df.collect()
+    documents = {r["doc_id"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
+    assert {r["doc_id"] for r in rows} == documents
+    if name != "op4_best_fit":
+        assert len(rows) == len(documents)
+    if sql := queries.oracle_sql().get(name):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+        want = con.sql(sql)
+        columns = sorted(want.columns)
+        assert columns == sorted(df.columns)
+        assert Counter(tuple(r[c] for c in columns) for r in rows) == Counter(want.select(*columns).fetchall())
