@@ -244,6 +244,41 @@ def test_secret_network_learns_and_adds(spark):
     assert found[5000]["n_model"] == 1 and found[5000]["spans"].startswith("model:")
 
 
+def test_every_token_is_a_secret_candidate():
+    import pyarrow as pa
+    text = "é pwd: Zx9!kQ2m passwort=Geheim24 QwErTzUiOpKl short AB" + "0123456789abcdef" * 2 + "XYZ"
+    scanned = secrets.Scanned(pa.array(["", text, "x" * 8]))
+    got = [(k, scanned.texts[k][s - scanned.bounds[k]:e - scanned.bounds[k]])
+           for k, s, e in zip(scanned.row(scanned.starts), scanned.starts, scanned.ends)]
+    assert got == [(1, "Zx9!kQ2m"), (1, "passwort=Geheim24"), (1, "QwErTzUiOpKl"), (1, "AB"), (1, "XYZ"), (2, "x" * 8)]
+
+
+def test_secret_network_scores_as_it_was_fitted():
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcXYZ019= \n!é"), n)) for n in (0, 3, 9, 700, 9000)] + ["q" * 200]
+    scanned, network = secrets.Scanned(pa.array(texts)), secrets.Network()
+    sizes = scanned.ends - scanned.starts
+    want = network.forward(scanned.windows(scanned.starts), sizes)[-1]
+    assert np.allclose(network.logits(scanned.codes, scanned.place(scanned.starts), sizes), want, atol=1e-4)
+    spans = scanned.judged(network)
+    assert all(0 <= p <= 1 for x in spans for *_, p in x)
+
+
+def test_secret_network_finds_short_passwords(spark):
+    rng = np.random.default_rng(8)
+    pick = lambda chars, n: "".join(rng.choice(list(chars), n))
+    data = [(i, f'text token = "{pick("0123456789abcdef", 40)}" more') for i in range(150)]
+    data += [(1000 + i, " ".join(pick("aeioustrn", rng.integers(3, 13)) for _ in range(20))) for i in range(300)]
+    data += [(5000, "please use pwd: Zx9!kQ2m for it"), (5001, "login passwort=Geheim24 now"),
+             (5002, "cred = XbTrKqWvZpLmNdFg")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    masked = {r["doc_id"]: r["text"] for r in secrets.masked(df).collect()}
+    assert masked[5000] == "please use pwd: <secret> for it"
+    assert "Geheim24" not in masked[5001] and "XbTrKqWvZpLmNdFg" not in masked[5002]
+    assert sum("<secret>" in masked[1000 + i] for i in range(300)) <= 15
+
+
 # 6
 def brute_shards(rows, count):
     by = defaultdict(list)
