@@ -279,6 +279,19 @@ def test_secret_network_finds_short_passwords(spark):
     assert sum("<secret>" in masked[1000 + i] for i in range(300)) <= 15
 
 
+def test_secret_threshold_keeps_the_recall(monkeypatch, spark):
+    rng = np.random.default_rng(2)
+    pick = lambda chars, n: "".join(rng.choice(list(chars), n))
+    # secrets that look like ordinary words
+    data = [(i, f"{pick('abcdefgh', 9)} secret {pick('abcdefgh', 9)} secret = {pick('abcdefgh', 9)}") for i in range(200)]
+    monkeypatch.setattr(secrets, "disguised", lambda v, n, *a: ("\0" * 24 + v[24:24 + n].ljust(48, "\0"), n))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    network = secrets.trained(secrets.scan(df))
+    assert network.recall >= 0.98
+    found = secrets.judged(df, network).collect()
+    assert any(s["probability"] < 1 for r in found for s in r["spans"] if s["kind"] < 3)
+
+
 # 6
 def brute_shards(rows, count):
     by = defaultdict(list)
