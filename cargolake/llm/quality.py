@@ -5,8 +5,8 @@ repetition of the line itself and of the lines before and after it. Forward-back
 line's marginal; the length-weighted mean of the marginals is the document's quality, which a
 logistic curve fitted on other labelled rows turns into a probability.
 
-Fitting uses at most ``SAMPLE`` labelled rows (those of least hash) and of each at most
-``FIT_LINES`` lines; scoring reads whole texts of all rows and is narrow. A line without
+Fitting uses all lines of at most ``SAMPLE`` labelled rows (those of least hash), and of fewer rows
+where they would hold more than ``FIT_LINES`` lines together; scoring reads whole texts of all rows and is narrow. A line without
 characters has features of zero; an empty or null text is one such line and gets a score. Rows
 labelled twice count twice.
 """
@@ -17,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, lengths, packed, texts
+from .common import chunks, lengths, packed, stored, texts
 from .shingles import prefix_hashes, span_hashes
 
 BATCH = 2 << 20
 SAMPLE = 4_000
-FIT_LINES = 400
+FIT_LINES = 1_600_000
 MIN_SCORE = 0.3
 
 _CLASSES = {  # characters counted for a line's features
@@ -201,19 +201,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
               .select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
               .orderBy(F.xxhash64("doc_id"), "quality").limit(sample))
 
+    most = FIT_LINES
+
     def features(batches):
         for b in batches:
             for i, j in chunks(b.column(1), BATCH):
                 own, size, firsts = line_features(b.column(1).slice(i, j - i))
-                packs = [np.column_stack((own[a:z], size[a:z]))[:FIT_LINES].astype("<f4").tobytes()
+                # a text of more lines than are wanted together cannot be chosen
+                packs = [np.column_stack((own[a:z], size[a:z])).astype("<f4").tobytes() if z - a <= most else b""
                          for a, z in zip(firsts, firsts[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(packs, pa.binary())],
-                    ["doc_id", "quality", "lines"])
+                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(packs, pa.binary()),
+                     pa.array(np.diff(firsts), pa.int64())], ["doc_id", "quality", "lines", "n_lines"])
     # at most ``sample`` small rows are broadcast
-    rows = (texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
-            .mapInArrow(features, "doc_id long, quality int, lines binary")
-            .orderBy(F.xxhash64("doc_id"), "quality", "lines").limit(sample).collect())
+    found = stored(texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+                   .mapInArrow(features, "doc_id long, quality int, lines binary, n_lines long"), "labelled")
+    order = [F.xxhash64("doc_id"), "quality", "mark"]
+    found = found.withColumn("mark", F.xxhash64("lines"))
+    left, keys = most, set()
+    for r in found.select("doc_id", "quality", "mark", "n_lines").orderBy(*order).limit(sample).collect():
+        if r["n_lines"] <= left:
+            left -= r["n_lines"]
+            keys.add((r["doc_id"], r["quality"], r["mark"]))
+    keys = docs.sparkSession.createDataFrame(list(keys), "doc_id long, quality int, mark long")
+    rows = (found.join(F.broadcast(keys), ["doc_id", "quality", "mark"], "left_semi")
+            .orderBy(*order).limit(sample).collect())
     arrays = [np.frombuffer(r["lines"], "<f4").reshape(-1, N_FEATURES + 1).astype(np.float64) for r in rows]
     good = np.array([r["quality"] for r in rows], float)
     width = N_FEATURES

@@ -483,6 +483,19 @@ def test_quality_held_out_accuracy(spark):
     assert np.mean([(r["score"] >= 0.3) == (r["quality"] == 1) for r in rows]) > 0.95
 
 
+def test_quality_fits_whole_rows(monkeypatch, spark):
+    docs = spark.createDataFrame([(i, "\n".join(["Fine words here."] * 600 + ["!!! ###"] * (i % 2))) for i in range(12)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(12)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality.Chain, "fit", lambda self, x, firsts, good: seen.append(np.diff(firsts)))
+    quality.train(docs, labels)
+    assert set(seen[0]) == {600, 601}
+    monkeypatch.setattr(quality, "FIT_LINES", 2500)
+    quality.train(docs, labels)
+    assert set(seen[1]) <= {600, 601} and seen[1].sum() <= 2500
+
+
 def test_line_features_do_not_see_neighbouring_texts():
     import pyarrow as pa
     texts = ["One two three.\nfour", "", "Zzz\n\nyy yy yy", "é" * 10]
