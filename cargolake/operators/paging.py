@@ -31,11 +31,13 @@ def page(df: DataFrame, sort_by: str, sort_order: str = "desc", number: int = 1,
 
 
 def page_after(df: DataFrame, last: dict | None, sort_by: str, sort_order: str = "desc",
-               size: int = 50) -> DataFrame:
+               size: int = 50, shown: int = 1) -> DataFrame:
     """The page that follows a row, given as that row's values of all columns.
 
-    Unlike an offset it costs the same however deep the page lies: only ``size`` rows are
-    kept. Without a row it is the first page.
+    ``shown`` is how many rows equal to it in every column the pages so far have shown; the
+    others of them come first. Unlike an offset it costs the same however deep the page lies:
+    only ``size`` rows are kept, and ``shown`` of the equal ones passed over. Without a row it
+    is the first page.
     """
     columns = [sort_by, *(c for c in df.columns if c != sort_by)]
     if last is not None:
@@ -49,7 +51,8 @@ def page_after(df: DataFrame, last: dict | None, sort_by: str, sort_order: str =
                 later = F.coalesce(later, F.lit(True))
             beyond.append(reduce(and_, [*equal, later]))
             equal.append(col(c).eqNullSafe(F.lit(value)))
-        df = df.filter(reduce(or_, beyond))
+        same = df.filter(reduce(and_, equal)).offset(shown).limit(size)
+        df = df.filter(reduce(or_, beyond)).unionAll(same)
     return df.orderBy(*ordering(df.columns, sort_by, sort_order)).limit(size)
 
 

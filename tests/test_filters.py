@@ -179,3 +179,14 @@ def test_keyset_pages_follow_each_other(shipments):
         assert got == want
     tail = rows.orderBy(*paging.ordering(rows.columns, "Date", "desc")).collect()[-5:]
     assert paging.page_after(rows, tail[0].asDict(), "Date", "desc").collect() == tail[1:]
+
+
+def test_pages_by_key_show_repeated_rows(spark):
+    from cargolake.operators import paging
+    rows = spark.createDataFrame([(1, "a")] * 2 + [(2, None)] * 7 + [(3, "b")] + [(None, "c")] * 4, "n int, s string")
+    whole = rows.orderBy(*paging.ordering(rows.columns, "n", "asc")).collect()
+    seen, last, shown = [], None, 0
+    while part := paging.page_after(rows, last, "n", "asc", 3, shown).collect():
+        seen += part
+        last, shown = seen[-1].asDict(), seen.count(seen[-1])
+    assert seen == whole
