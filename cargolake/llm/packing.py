@@ -124,7 +124,7 @@ def placed(pieces: DataFrame, size: int = 2048) -> DataFrame:
                 .append_column("offset", pa.array([o for _, o in found], pa.int64())))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*columns), F.lit(groups)))
     return dealt.groupBy("_group").applyInArrow(pack, schema)
 
 

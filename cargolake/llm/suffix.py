@@ -293,7 +293,7 @@ def _steps(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Rows with their block, the bits of all four steps, and the number of parts."""
     total = text_bytes(rows)
     n_blocks, n_parts = parts(total, BLOCK_BYTES), partitions(total, PART_BYTES)
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"),
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"),
                         F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text", "row")
     empty = pa.table({c: pa.array([], t) for c, t in (("step", pa.int32()), ("part", pa.int64()), ("bits", pa.binary()))})
     bits = None

@@ -191,6 +191,23 @@ def test_packing(docs, rows):
     assert sum(len(r["ids"]) for r in full) == 4 * total
 
 
+def test_rows_without_identifier_do_not_meet(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(packing, "GROUP", 50)
+    pieces = spark.createDataFrame([(None, 0, 100, i) for i in range(1000)], "doc_id long, piece int, length int, ids_crc32 long")
+    groups = packing.placed(pieces, 512).groupBy(F.shiftright("sequence_id", 32)).count().collect()
+    assert len(groups) == 20 and max(r["count"] for r in groups) < 150
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 1000)
+    seen = []
+    monkeypatch.setattr(suffix, "_sends", lambda *a: (_ for _ in ()).throw(StopAsyncIteration))
+    real = type(pieces).select
+    monkeypatch.setattr(type(pieces), "select", lambda self, *c: seen.append(real(self, *c)) or seen[-1])
+    rows = spark.createDataFrame([(None, f"text {i} " * 10, str(i)) for i in range(200)], "doc_id long, text string, row string")
+    with pytest.raises(StopAsyncIteration):
+        suffix._steps(rows)
+    assert next(x for x in seen if "block" in x.columns).groupBy("block").count().count() > 10
+
+
 def test_best_fit_takes_the_tightest():
     lengths = sorted(np.random.default_rng(5).integers(1, 100, 500).tolist(), reverse=True)
     got, open_bins = packing.best_fit(lengths, 100), []
