@@ -3,11 +3,11 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
-from cargolake.session import local_session  # noqa: E402
+from support import DATA  # noqa: E402
 
-DATA = "/root/testdata/sf0.001"
+from cargolake.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -25,8 +25,3 @@ def shipments(spark):
     if not Path(DATA).exists():
         pytest.skip("sample tables are not there")
     return Views(spark, DATA).shipments.cache()
-
-
-def plan(df):
-    mode = df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
-    return df._jdf.queryExecution().explainString(mode)

@@ -7,7 +7,7 @@ import pytest
 
 from cargolake import catalog
 from cargolake.catalog.views import TABLES
-from conftest import DATA
+from support import DATA
 
 duckdb = pytest.importorskip("duckdb")
 

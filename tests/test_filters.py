@@ -8,7 +8,7 @@ from cargolake.operators import predicates as p
 from cargolake.operators.cleaning import add_search_columns
 from cargolake.operators.filters import ShipmentFilter, shortcut
 from cargolake.operators.paging import first_rows, list_by_tree, list_shipments, page_meta, sample_rows
-from conftest import plan
+from support import plan
 
 
 def frame(spark, texts):
@@ -157,7 +157,7 @@ def test_capped_export_cuts_by_a_literal_of_the_column(spark, shipments, tmp_pat
     stored = spark.read.parquet(path)
     value = paging.cut_value(stored, "Date", "desc", 100)
     assert isinstance(value, date) and paging.cut_value(stored, "Date", "desc", 10 ** 7) is None
-    from conftest import plan
+    from support import plan
     pushed = re.search(r"PushedFilters: \[([^]]*)", plan(stored.filter(paging._reaches(F.col("Date"), value, "desc"))))
     assert "GreaterThanOrEqual(Date" in pushed[1]
 

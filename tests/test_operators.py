@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cargolake.operators import advanced, analytics as a, cleaning as c, entities
 from cargolake.schema import SHIPMENT_COLUMNS, SHIPMENT_SCHEMA
-from conftest import plan
+from support import plan
 
 
 def rows(spark, *items):
