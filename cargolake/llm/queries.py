@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, bpe, exact, lines, merkle, minhash, packing, quality, secrets, sharding, suffix
+from . import (alignment, bpe, codes, exact, lines, merkle, minhash, packing, postings, quality, secrets, sharding,
+               suffix)
 from .common import documents
 
 
@@ -62,10 +63,19 @@ def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= quality.MIN_SCORE).cast("int").alias("predicted"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return postings.digests(postings.contamination(documents(spark, sf_dir), items))
+
+
 def op12_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digests(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -73,9 +83,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_byte_bpe, op2_suffix_dedup, op3_minhash, op4_best_fit, op5_secret_scan, op6_stratified_shards,
-           op7_line_dedup, op8_exact_dedup, op9_merkle, op10_crf_quality, op12_cross_align, pipeline)
+           op7_line_dedup, op8_exact_dedup, op9_merkle, op10_crf_quality, op11_decontaminate, op12_cross_align, op13_vector_codes, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": lines.ORACLE_SQL, "op8_exact_dedup": exact.ORACLE_SQL}
+    return {"op7_line_dedup": lines.ORACLE_SQL, "op8_exact_dedup": exact.ORACLE_SQL,
+            "op11_decontaminate": postings.ORACLE_SQL}

@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_exact_dedup": "doc_id keep_id group_size kept text_sha256",
     "op9_merkle": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op10_crf_quality": "doc_id held_out score predicted",
+    "op11_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op12_cross_align": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13_vector_codes": "vec_id code error label_error codebooks_sha256",
 }
 
 
@@ -35,13 +38,15 @@ def test_query(spark, name):
     df = queries.queries()[name](spark, DATA)
     assert set(COLUMNS[name].split()) <= set(df.columns)
     rows = df.collect()
-    documents = {r["doc_id"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
-    assert {r["doc_id"] for r in rows} == documents
+    key, table = ("vec_id", "embeddings") if name == "op13_vector_codes" else ("doc_id", "documents")
+    documents = {r[key] for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(key).collect()}
+    assert {r[key] for r in rows} == documents
     if name != "op4_best_fit":
         assert len(rows) == len(documents)
     if sql := queries.oracle_sql().get(name):
         con = duckdb.connect()
-        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+        for table in ("documents", "benchmark"):
+            con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
         want = con.sql(sql)
         columns = sorted(want.columns)
         assert columns == sorted(df.columns)
