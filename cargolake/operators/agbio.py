@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import contains, strip
 from ..functions.values import number
 from .filters import any_contains
-from .paging import narrowed, page
+from .analytics import distinct_count
+from .paging import listed
 
 TABLE = "ag_bio_market"
 
@@ -50,15 +51,15 @@ class MarketFilter:
 def list_rows(df: DataFrame, sort_by: str = "total_usd_m", sort_order: str = "desc",
               number: int = 1, size: int = 50) -> DataFrame:
     chosen = sort_by if sort_by in SORTABLE else "total_usd_m"
-    rows = narrowed(df, chosen, sort_order, number * size).select(*COLUMNS)
-    return page(rows, chosen, sort_order, number, size)
+    return listed(df, COLUMNS, chosen, sort_order, number, size)
 
 
 def stats(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("total_rows"),
-                  F.count_distinct("product").alias("distinct_products"),
-                  F.count_distinct("country").alias("distinct_countries"),
-                  F.coalesce(F.sum("total_usd_m"), F.lit(0.0)).alias("total_value_usd_m"))
+    counts = {f"distinct_{n}": distinct_count(df, F.col(c))
+              for n, c in (("products", "product"), ("countries", "country"))}
+    totals = df.agg(F.count("*").alias("total_rows"),
+                    F.coalesce(F.sum("total_usd_m"), F.lit(0.0)).alias("total_value_usd_m"))
+    return totals.select("*", *(c.alias(n) for n, c in counts.items()))
 
 
 def top_by(df: DataFrame, name: str, limit: int = 10) -> DataFrame:

@@ -40,8 +40,9 @@ def top_parties(df: DataFrame, party: str, limit: int = 25) -> DataFrame:
 def party_universe(df: DataFrame, party: str, approximate: bool = False) -> DataFrame:
     """Number of distinct parties; the approximate form needs no shuffle of names."""
     name = _party(party)
-    distinct = F.approx_count_distinct(name) if approximate else F.count_distinct(name)
-    return df.agg(distinct.alias("total"))
+    if approximate:
+        return df.agg(F.approx_count_distinct(name).alias("total"))
+    return df.select(name).filter(name.isNotNull()).distinct().agg(F.count("*").alias("total"))
 
 
 def monthly(df: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
@@ -89,20 +90,41 @@ def _change(now: Column, before: Column) -> Column:
     return F.when(before != 0, (now - before) / F.nullif(before, F.lit(0.0)) * 100)
 
 
+def distinct_by(df: DataFrame, keys: list[Column], value: Column, name: str) -> DataFrame:
+    """Distinct values by keys: one grouping over keys and value, then a count of its rows.
+
+    Several distinct counts in one aggregate would copy every row for each of them; these are
+    groupings of their own, which combine before their shuffle, joined by their few results.
+    """
+    pairs = df.select(*keys, value.alias("v_")).filter("v_ IS NOT NULL").distinct()
+    return pairs.groupBy(*(c for c in pairs.columns if c != "v_")).agg(F.count("*").alias(name))
+
+
+def distinct_count(df: DataFrame, value: Column) -> Column:
+    """Number of distinct values as a scalar, to stand beside other aggregates."""
+    return df.select(value.alias("v_")).filter("v_ IS NOT NULL").distinct().agg(F.count("*")).scalar()
+
+
 def by_country(df: DataFrame, limit: int = 50, counterparty: bool = False) -> DataFrame:
     """Volume by country and trade type.
 
     The country is the first stated of origin, destination and partner. On exports that is
-    the reporting country itself; ``counterparty`` takes the partner instead.
+    the reporting country itself; ``counterparty`` takes the partner instead. Parties are
+    counted for the countries that are reported alone.
     """
     place = (F.col("Country") if counterparty
              else F.coalesce("Origin Country", "Destination Country", "Country"))
-    return (df.withColumn("country_", place).filter(F.col("country_").isNotNull())
-            .groupBy(F.col("country_").alias("country"), F.col("Trade Type").alias("trade_type"))
-            .agg(*_volume(), F.count_distinct("Importer").alias("unique_importers"),
-                 F.count_distinct("Exporter").alias("unique_exporters"))
-            .orderBy(F.col("total_value").desc_nulls_last(), "country",
-                     F.col("trade_type").asc_nulls_last()).limit(limit))
+    keys = [place.alias("country"), F.col("Trade Type").alias("trade_type")]
+    order = [F.col("total_value").desc_nulls_last(), "country", F.col("trade_type").asc_nulls_last()]
+    placed = df.filter(place.isNotNull())
+    found = placed.groupBy(*keys).agg(*_volume()).orderBy(*order).limit(limit)
+    for party in ("Importer", "Exporter"):
+        name = f"unique_{party.lower()}s"
+        counts = distinct_by(placed, keys, F.col(party), name).toDF("c_", "t_", name)
+        same = (F.col("country") == F.col("c_")) & F.col("trade_type").eqNullSafe(F.col("t_"))
+        found = (found.join(counts, same, "left").drop("c_", "t_")
+                 .withColumn(name, F.coalesce(name, F.lit(0))))
+    return found.orderBy(*order)
 
 
 def heat(countries: DataFrame) -> DataFrame:
@@ -158,8 +180,7 @@ def dataset_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     if approximate:
         return df.agg(*base, *(F.approx_count_distinct(c).alias(f"distinct_{n}")
                                for n, c in wanted.items()))
-    counts = {f"distinct_{n}": df.select(c.alias("v")).filter("v is not null").distinct()
-              .agg(F.count("*")).scalar() for n, c in wanted.items()}
+    counts = {f"distinct_{n}": distinct_count(df, c) for n, c in wanted.items()}
     return df.agg(*base).select("*", *(c.alias(n) for n, c in counts.items()))
 
 

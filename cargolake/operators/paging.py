@@ -13,17 +13,12 @@ from ..schema import SHIPMENT_COLUMNS, col
 from ..session import scratch
 from .filters import ShipmentFilter
 from .predicates import FIELDS, SORT_FIELDS, Group, PredicateError, apply_tree
+from .rank_pages import RANGE_ROWS, ordering, page_at
 
 # Values of the sort column that are looked at to find where a capped export ends.
 CUT_SAMPLE = 50_000
 
 
-def ordering(columns: Iterable[str], sort_by: str, sort_order: str = "desc") -> list[Column]:
-    """The sort column with NULLs last, then every other column so that ties are settled."""
-    first = col(sort_by).asc_nulls_last() if sort_order == "asc" else col(sort_by).desc_nulls_last()
-    return [first, *(col(c).asc_nulls_last() for c in columns if c != sort_by)]
-
-
 def page(df: DataFrame, sort_by: str, sort_order: str = "desc", number: int = 1,
          size: int = 50) -> DataFrame:
     return (df.orderBy(*ordering(df.columns, sort_by, sort_order))
@@ -82,13 +77,25 @@ def narrowed(df: DataFrame, sort_by: str, sort_order: str, rows: int) -> DataFra
                      else key >= F.lit(found["last"]))
 
 
+def listed(df: DataFrame, columns: Iterable[str], sort_by: str, sort_order: str, number: int, size: int) -> DataFrame:
+    """A page of some columns at any depth, with the rows and order that ``page`` gives.
+
+    The first pages come from a cut at the value of their last row, later ones from counted ranks,
+    so that no task sorts more than ``RANGE_ROWS`` rows.
+    """
+    columns = [col(c) for c in columns]
+    if number * size > RANGE_ROWS:
+        return page_at(df.select(*columns), sort_by, sort_order, number, size)
+    rows = narrowed(df, sort_by, sort_order, number * size).select(*columns)
+    return page(rows, sort_by, sort_order, number, size)
+
+
 def list_shipments(df: DataFrame, f: ShipmentFilter) -> DataFrame:
     return _shipment_page(f.apply(df), f.sort_by or "Date", f.sort_order, f.page, f.page_size)
 
 
 def _shipment_page(df: DataFrame, sort_by: str, sort_order: str, number: int, size: int) -> DataFrame:
-    rows = narrowed(df, sort_by, sort_order, number * size).select(*map(col, SHIPMENT_COLUMNS))
-    return page(rows, sort_by, sort_order, number, size)
+    return listed(df, SHIPMENT_COLUMNS, sort_by, sort_order, number, size)
 
 
 def list_by_tree(df: DataFrame, root: Group | None, sort_by: str | None = None,
