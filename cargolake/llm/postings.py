@@ -217,8 +217,11 @@ def searched(index: DataFrame, wanted: DataFrame, answer: Callable[[int, Block],
     wanted = stored(wanted.groupBy("phrase").agg(F.first("terms").alias("terms")), "phrases")
     vocabulary = stored(wanted.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
     plans = stored(_plans(index, wanted, vocabulary), "plans")
-    asked = stored(index.where("term is not null").select(F.col("block").alias("asked_of"), F.col("term").alias("rarest"))
-                   .join(plans, "rarest").select("asked_of", "phrase", "terms", "order"), "asked")
+    # the few rows of rarest words leave the index before they meet the phrases
+    rarest = stored(plans.select("rarest").distinct(), "rarest")
+    seeds = (index.where("term is not null").select(F.col("block").alias("asked_of"), F.col("term").alias("rarest"))
+             .join(rarest, "rarest", "left_semi"))
+    asked = stored(seeds.join(plans.hint("merge"), "rarest").select("asked_of", "phrase", "terms", "order"), "asked")
     # a block's documents and lists; only blocks that are asked send theirs
     lists = index.where("term is not null").join(vocabulary, "term", "left_semi")
     rows = lists.select("block", "term", "places", F.lit(None).cast("array<long>").alias("n_words")).unionByName(
