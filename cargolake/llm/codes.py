@@ -34,7 +34,9 @@ from .common import stored
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Vectors compared with a codebook at a time, and coefficients added between two eliminations.
-ROWS, STEP = 1024, 4
+ROWS, STEP = 256, 4
+#: Pairs go on by themselves when at most one in so many is left.
+MANY = 8
 #: Labels with at least this share of the rows (so at most so many) are joined by broadcast.
 HOT_LABELS = 1_000
 LIMB = 40
@@ -62,31 +64,50 @@ def walsh(x: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For transformed rows the nearest transformed entry (of equals the first) and the distance."""
-    n, first = x.shape[1], min(STEP, x.shape[1])
-    chosen, distance = [], []
+    """For transformed rows the nearest transformed entry (of equals the first) and the distance.
+
+    While many entries are left their sums grow side by side as a matrix; once most are out, the
+    pairs that are left go on by themselves.
+    """
+    n = x.shape[1]
+    chosen, distance = [np.zeros(0, np.int64)], [np.zeros(0, x.dtype)]
+    columns = np.ascontiguousarray(entries.T)
     for k in range(0, len(x), ROWS):
         own = x[k:k + ROWS]
-        so_far = np.zeros((len(own), len(entries)), x.dtype)
-        for c in range(first):
-            d = own[:, c, None] - entries[None, :, c]
-            so_far += d * d
-        guess = entries[so_far.argmin(1)]
-        bound = ((own - guess) ** 2).sum(1, dtype=x.dtype)
-        row, entry = np.nonzero(so_far <= bound[:, None])
-        total = so_far[row, entry]
-        for c in range(first, n, STEP):
-            d = own[row, c:c + STEP] - entries[entry, c:c + STEP]
-            total = total + (d * d).sum(1, dtype=x.dtype)
-            left = total <= bound[row]
-            row, entry, total = row[left], entry[left], total[left]
+        total = np.zeros((len(own), len(entries)), x.dtype)
+        d = np.empty_like(total)
+        bound = left = None
+        for at in range(0, n, STEP):
+            for c in range(at, min(n, at + STEP)):
+                np.subtract(own[:, c, None], columns[c], out=d)
+                np.multiply(d, d, out=d)
+                np.add(total, d, out=total)
+            at += STEP
+            if at >= n:
+                break
+            if bound is None:
+                bound = ((own - entries[total.argmin(1)]) ** 2).sum(1, dtype=x.dtype)
+            left = total <= bound[:, None]
+            if np.count_nonzero(left) * MANY <= left.size:
+                break
+        if at >= n:
+            best = total.argmin(1)
+            chosen.append(best)
+            distance.append(total[np.arange(len(own)), best])
+            continue
+        row, entry = np.nonzero(left)
+        total = total[row, entry]
+        for c in range(at, n, STEP):
+            part = own[row, c:c + STEP] - entries[entry, c:c + STEP]
+            total = total + (part * part).sum(1, dtype=x.dtype)
+            on = total <= bound[row]
+            row, entry, total = row[on], entry[on], total[on]
         starts = np.searchsorted(row, np.arange(len(own)))
-        least = np.minimum.reduceat(total, starts)
-        hit = np.flatnonzero(total == least[row])
+        hit = np.flatnonzero(total == np.minimum.reduceat(total, starts)[row])
         hit = hit[np.searchsorted(row[hit], np.arange(len(own)))]
         chosen.append(entry[hit])
         distance.append(total[hit])
-    return np.concatenate([np.zeros(0, np.int64), *chosen]), np.concatenate([np.zeros(0, x.dtype), *distance])
+    return np.concatenate(chosen), np.concatenate(distance)
 
 
 @dataclass
