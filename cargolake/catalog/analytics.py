@@ -6,11 +6,15 @@ from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import advanced, analytics as a, entities
+from ..operators import advanced, analytics as a, entities, name_index
 from ..operators.filters import ShipmentFilter
 from ..operators.mapping import counterparties
+from ..operators.rollups import ERROR, Rollups
 from ..plans import saved
+from ..plans.build import write_rollups
 from ..schema import DEDUPE_KEY, SHIPMENT_COLUMNS, col
+from ..session import scratch
+from ..sources.writers import write_stage
 from .registry import add, query, rounded
 from .views import Views
 
@@ -274,19 +278,96 @@ def _close(a: str, b: str) -> str:
     return f"(1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}), 1))"
 
 
-@query("txt_similar", f'''
-WITH e AS (SELECT "Importer" AS name, lower("Importer") AS t, 'custmer#000000042' AS q, count(*) AS shipments
+def _similar_sql(query_text: str, cutoff: int) -> str:
+    return f'''
+WITH e AS (SELECT "Importer" AS name, lower("Importer") AS t, '{query_text}' AS q, count(*) AS shipments
            FROM shipments WHERE "Importer" IS NOT NULL GROUP BY 1),
 s AS (SELECT *, round(100 * greatest({_close("t", "q")},
-  0.95::DOUBLE * {_close("array_to_string(list_sort(string_split(t, ' ')), ' ')", "q")},
+  0.95::DOUBLE * {_close("array_to_string(list_sort(string_split(t, ' ')), ' ')", "array_to_string(list_sort(string_split(q, ' ')), ' ')")},
   0.9::DOUBLE * list_max(list_transform(string_split(t, ' '), lambda w: {_close("w", "q")})),
   CASE WHEN contains(t, q) THEN 0.9::DOUBLE ELSE 0 END), 6) AS raw FROM e)
-SELECT name, CAST(floor(raw) AS INTEGER) AS score, shipments FROM s WHERE raw >= 70
-ORDER BY raw DESC, name LIMIT 10''')
+SELECT name, CAST(floor(raw) AS INTEGER) AS score, shipments FROM s WHERE raw >= {cutoff}
+ORDER BY raw DESC, name LIMIT 10'''
+
+
+@query("txt_similar", _similar_sql("custmer#000000042", 70))
 def similar(v: Views) -> DataFrame:
     return entities.similar(entities.entity_counts(v.shipments, "Importer"), "Custmer#000000042")
 
 
+def _index(v: Views) -> name_index.SimilarIndex:
+    return name_index.similar_index(entities.entity_counts(v.shipments, "Importer"))
+
+
+add("txt_similar_grams", lambda v: name_index.similar(_index(v), "Custmer#000000042"),
+    _similar_sql("custmer#000000042", 70))
+add("txt_similar_grams_contained", lambda v: name_index.similar(_index(v), "00000013", cutoff=88),
+    _similar_sql("00000013", 88))
+add("txt_similar_grams_words", lambda v: name_index.similar(_index(v), "000000007 customer", cutoff=60),
+    _similar_sql("000000007 customer", 60))
+
+
+def _rotated(v: Views, party: str) -> DataFrame:
+    """The sorted rotations as written and read back: a range of them is a range of files."""
+    path = scratch(v.spark, "rotations")
+    write_stage(name_index.rotations(entities.entity_counts(v.shipments, party)), path)
+    return v.spark.read.parquet(path)
+
+
+add("txt_suggest_rotations", lambda v: name_index.suggest(_rotated(v, "Supplier"), "000004"), '''
+SELECT DISTINCT "Supplier" AS name FROM shipments WHERE "Supplier" ILIKE '%000004%'
+ORDER BY CASE WHEN name ILIKE '000004%' THEN 0 ELSE 1 END, name LIMIT 10''')
+add("txt_suggest_rotations_prefix",
+    lambda v: name_index.suggest(_rotated(v, "Importer"), "customer#0000000"), '''
+SELECT DISTINCT "Importer" AS name FROM shipments WHERE "Importer" ILIKE '%customer#0000000%'
+ORDER BY name LIMIT 10''')
+
+
+# Answers from stored roll-ups and sketches.
+
+def _rollups(v: Views) -> Rollups:
+    path = scratch(v.spark, "rollups")
+    write_rollups(v.shipments, path)
+    return Rollups(v.shipments, *(v.spark.read.parquet(f"{path}/{n}")
+                                  for n in ("rollup_keys", "rollup_parties", "sketches")))
+
+
+add("agg_monthly_rollup", lambda v: rounded(
+    _rollups(v).monthly(ShipmentFilter(trade_type="IMPORT", country="NATION_1"), ("HS Chapter",)), *_SUMS), f'''
+SELECT {_MONTH}, "HS Chapter", {_VOLUME} FROM shipments
+WHERE "Date" IS NOT NULL AND "Trade Type" = 'IMPORT' AND ("Origin Country" ILIKE '%NATION_1%'
+  OR "Destination Country" ILIKE '%NATION_1%' OR "Country" ILIKE '%NATION_1%') GROUP BY 1, 2''')
+add("agg_top_importers_rollup", lambda v: rounded(_rollups(v).top_parties(
+    ShipmentFilter(importer="0001", date_from=date(1996, 2, 1), date_to=date(1999, 8, 31)), "Importer"), *_SUMS), f'''
+SELECT "Importer" AS name, {_VOLUME} FROM shipments WHERE "Importer" ILIKE '%0001%'
+  AND "Date" BETWEEN DATE '1996-02-01' AND DATE '1999-08-31'
+GROUP BY 1 ORDER BY sum("Value") DESC NULLS LAST, name LIMIT 25''')
+add("agg_totals_rollup", lambda v: rounded(rounded(
+    _rollups(v).totals(ShipmentFilter(hs_chapter="29")), *_SUMS), "avg_unit_price_usd", digits=4),
+    _TOTALS + "\"HS Chapter\" = '29'")
+
+
+@query("agg_dataset_stats_sketch", '''
+SELECT t.name, t.exact, true AS near FROM (
+  SELECT 'importers' AS name, count(DISTINCT "Importer") AS exact FROM shipments WHERE "Trade Type" = 'IMPORT'
+  UNION ALL SELECT 'suppliers', count(DISTINCT "Supplier") FROM shipments WHERE "Trade Type" = 'IMPORT'
+  UNION ALL SELECT 'hsn', count(DISTINCT "HSN") FROM shipments WHERE "Trade Type" = 'IMPORT'
+  UNION ALL SELECT 'rows', count(*) FROM shipments WHERE "Trade Type" = 'IMPORT') t''')
+def stats_sketch(v: Views) -> DataFrame:
+    """Exact counts, and whether the united sketches are within four standard errors of them."""
+    f = ShipmentFilter(trade_type="IMPORT")
+    exact = a.dataset_stats(f.apply(v.shipments))
+    near = _rollups(v).dataset_stats(f)
+    names = {"importers": "distinct_importers", "suppliers": "distinct_suppliers", "hsn": "distinct_hsn", "rows": "total_rows"}
+
+    def long(df: DataFrame, column: str) -> DataFrame:
+        return df.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).cast("long").alias(column))
+                                            for n, c in names.items()))))
+    both = long(exact, "exact").join(long(near, "estimate"), "name")
+    within = F.abs(F.col("estimate") - F.col("exact")) <= F.ceil(4 * ERROR * F.col("exact"))
+    return both.select("name", "exact", within.alias("near"))
+
+
 # The saved reports.
 
 add("ex_1", lambda v: saved.by_importer(v.shipments, "00007"), '''

@@ -16,6 +16,7 @@ from ..plans.build import build_shipments
 from ..schema import SHIPMENT_COLUMNS, col
 from ..session import scratch
 from ..sources import feeds, writers
+from .cleaning import _FOLD as FOLDED
 from .filters import order_sql
 from .registry import add, query, rounded
 from .views import Views
@@ -183,13 +184,13 @@ def header_norm(v: Views) -> DataFrame:
                               normalise_column(F.col("Product Description")).alias("header"))
 
 
-@query("map_header_norm_accent", '''
-SELECT "BE/SB Number" AS id, regexp_replace(lower('Formulacion ' || "Origin Country" || ' (%) n'), '[^a-z0-9]', '', 'g')
-       AS header FROM shipments''')
+@query("map_header_norm_accent", f'''
+SELECT doc_id, regexp_replace(lower('Formulacion ' || {FOLDED} || ' (%) n'), '[^a-z0-9]', '', 'g') AS header
+FROM texts''')
 def header_norm_accent(v: Views) -> DataFrame:
     assert folded_header("Formulación (%)") == "formulacion" and normalise("BE_Date") == "bedate"
-    header = F.concat(F.lit("Fórmulación "), F.col("Origin Country"), F.lit(" (%) ñ"))
-    return v.shipments.select(F.col("BE/SB Number").alias("id"), folded_key(header).alias("header"))
+    header = F.concat(F.lit("Fórmulación "), F.col("Product Description"), F.lit(" (%) ñ"))
+    return v["texts"].select("doc_id", folded_key(header).alias("header"))
 
 
 def _text(name: str, view: str, sql: str, **names: str) -> None:
@@ -290,7 +291,7 @@ SELECT "SB No" AS id, CASE WHEN {_num('trim("Value CIF $")')} > 0 THEN trim("Val
 FROM raw_export''', value="Value")
 _DERIVED = f'''
 SELECT "BE_NO" AS id, CASE WHEN {_num('"Total_Ass_Value"')} IS NULL THEN
-         {_num('"Quantity"')} * {_num('"Unit_Price"')} ELSE {_num('"Total_Ass_Value"')} END AS value
+         round({_num('"Quantity"')} * {_num('"Unit_Price"')}, 3) ELSE {_num('"Total_Ass_Value"')} END AS value
 FROM raw_import'''
 
 
@@ -318,7 +319,7 @@ _rule("map_unit_price_ratio", "raw_export",
 WITH r AS (SELECT "SB No" AS id, file_name, {_num('"Qty"')} AS q,
              {_num("""coalesce(nullif(trim("Total_Value_in_USD"), ''), "Value CIF $")""")} AS val
            FROM raw_export)
-SELECT id, CASE WHEN file_name LIKE 'Australia%' AND q > 0 THEN val / q END AS unit_price
+SELECT id, CASE WHEN file_name LIKE 'Australia%' AND q > 0 THEN round(val / q, 4) END AS unit_price
 FROM r''', unit_price="Unit Price USD")
 
 
@@ -375,7 +376,7 @@ def consolidate(v: Views) -> DataFrame:
 
 _PARTNER = f'''coalesce({_foreign('"Country_of_Origin"')}, {_foreign('r."Country"')},
     {_foreign('"Importing Country"')}, {_foreign("port_country")})'''
-_VALUE = f'''CASE WHEN {_num('"Total_Ass_Value"')} IS NULL THEN {_num('"Quantity"')} * {_num('"Unit_Price"')}
+_VALUE = f'''CASE WHEN {_num('"Total_Ass_Value"')} IS NULL THEN round({_num('"Quantity"')} * {_num('"Unit_Price"')}, 3)
   ELSE {_num('"Total_Ass_Value"')} END'''
 _ADDRESS = '''array_to_string(list_filter(["Importer_Add_01", "Importer_Add_02", "Importer_Add_03"],
   lambda x: x <> ''), ' | ')'''
@@ -463,11 +464,10 @@ def replace_table(v: Views) -> DataFrame:
     path = scratch(v.spark, "ledger")
     name = "cargolake_" + path.rsplit("-", 1)[-1]
     for df in (v["ledger"].filter("quantity > 10"), v["ledger"]):
-        writers.replace_table(df, name, path)
-    stored = v.spark.table(name)
-    assert stored.columns == v["ledger"].columns
+        location = writers.replace_table(df, name, path)
+    assert v.spark.table(name).columns == v["ledger"].columns
     v.spark.sql(f"DROP TABLE {name}")  # external: its files stay
-    return v.spark.read.parquet(path).groupBy("type").agg(F.count("*").alias("rows"))
+    return v.spark.read.parquet(location).groupBy("type").agg(F.count("*").alias("rows"))
 
 
 @query("snk_run_summary", '''

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.cleaning import add_search_columns
 from ..operators.filters import ShipmentFilter, shortcut
 from ..operators.paging import list_by_tree, list_shipments, page_meta, sample_rows
+from ..operators.rank_pages import page_at
 from ..operators.predicates import Condition, Group, apply_tree, sanitise, tree
 from ..schema import NUMERIC_COLUMNS, SHIPMENT_COLUMNS, col
 from ..session import scratch
@@ -162,6 +163,18 @@ def tree_page(v: Views) -> DataFrame:
     return list_by_tree(v.shipments, root, "value", "asc", number=3, size=25)
 
 
+def _deep(name: str, sort_by: str, direction: str, number: int, size: int) -> None:
+    add(name, lambda v: page_at(v.shipments, sort_by, direction, number, size, range_rows=1_000), f'''
+SELECT {_ALL} FROM shipments
+{order_sql(SHIPMENT_COLUMNS, sort_by, direction.upper())} LIMIT {size} OFFSET {(number - 1) * size}''')
+
+
+_deep("srt_page_deep", "Date", "desc", 100, 50)
+_deep("srt_page_deep_ties", "Trade Type", "asc", 71, 61)
+_deep("srt_page_deep_nulls", "Importer", "desc", 44, 117)
+_deep("srt_page_last", "Value", "asc", 59, 100)
+
+
 @query("srt_page_meta", '''
 SELECT count(*) AS total, 2 AS page, 50 AS page_size,
        CAST(ceil(count(*) / 50.0) AS BIGINT) AS total_pages

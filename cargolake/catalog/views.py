@@ -126,7 +126,8 @@ SELECT
          WHEN 4 THEN 'x' ELSE CAST("Quantity" AS STRING) END AS "Quantity",
   lower("Unit") AS "UQC",
   CASE k WHEN 0 THEN CAST("Value" AS STRING) WHEN 1 THEN 'abc' END AS "Total_Ass_Value",
-  CAST(CAST(floor("Value" / "Quantity") AS BIGINT) AS STRING) || '.25' AS "Unit_Price",
+  CAST(CAST(floor("Value" / "Quantity") AS BIGINT) AS STRING)
+    || CASE k WHEN 3 THEN '.251731' ELSE '.25' END AS "Unit_Price",
   CASE WHEN k > 1 THEN CAST(CAST(floor("Value" / "Quantity") AS BIGINT) AS STRING) || '.5' END
     AS "Invoice_Unit_Price_FC",
   CASE WHEN k IN (0, 1, 2) THEN 'usd' WHEN k = 3 THEN NULL ELSE 'EUR' END AS "INVOICE_CURRENCY",
@@ -155,7 +156,7 @@ SELECT
   CASE k WHEN 1 THEN "Country" END AS "Country",
   CASE k WHEN 2 THEN 'unknown port' ELSE "Port" END AS "Port of Destination",
   'Indian ' || "Port" AS "Indian Port",
-  CASE k WHEN 0 THEN '8' WHEN 1 THEN '5' WHEN 2 THEN '0' ELSE '16' END AS "Qty",
+  CASE k WHEN 0 THEN '8' WHEN 1 THEN '5' WHEN 2 THEN '0' WHEN 3 THEN '7' ELSE '16' END AS "Qty",
   "Unit" AS "Unit",
   CAST(CAST(floor("Value") AS BIGINT) AS STRING) AS "Invoice Value",
   CASE k WHEN 0 THEN ' ' WHEN 1 THEN NULL

@@ -46,9 +46,9 @@ def _marks(df: DataFrame, key: Column, rows: int) -> list:
     values = df.select(key.alias("v")).filter("v is not null")
     drawn = (values.sample(share, 5) if share < 1 else values).limit(4 * SAMPLE)
     sample = sorted(r["v"] for r in drawn.collect() if r["v"] == r["v"])
-    if not sample:  # none was drawn, or no numbers: any value will do
-        return [r["v"] for r in values.limit(1).collect()]
-    return sorted({sample[(k * (len(sample) - 1)) // (MARKS - 1)] for k in range(MARKS)})
+    if not sample:  # none was drawn: any value will do
+        sample = [r["v"] for r in values.limit(1).collect() if r["v"] == r["v"]]
+    return sorted({sample[(k * (len(sample) - 1)) // (MARKS - 1)] for k in range(MARKS)} if sample else [])
 
 
 def _range_of(key: Column, marks: list, low: int, high: int) -> Column:
@@ -61,10 +61,14 @@ def _range_of(key: Column, marks: list, low: int, high: int) -> Column:
             .otherwise(_range_of(key, marks, mid + 1, high)))
 
 
-def _within(key: Column, marks: list, number: int) -> Column:
+def _within(key: Column, marks: list, number: int, floating: bool) -> Column:
     """The filter for one range, in a form that reaches the scan."""
-    if number > 2 * len(marks):
+    if number == _nulls(marks):
         return key.isNull()
+    if number == _nans(marks):
+        return F.isnan(key)
+    if floating and number == 2 * len(marks):  # statistics of files and caches leave NaN out
+        return _within(key, marks, number, False) & ~F.isnan(key)
     k, on = divmod(number, 2)
     if on:
         return key == F.lit(marks[k])
@@ -72,9 +76,20 @@ def _within(key: Column, marks: list, number: int) -> Column:
     return above & (key < F.lit(marks[k])) if k < len(marks) else above
 
 
-def rank_histogram(df: DataFrame, key: Column, marks: list) -> dict[int, int]:
-    """Rows of every range; there are ``2 * len(marks) + 2`` at most, the last one of NULLs."""
-    number = F.when(key.isNull(), 2 * len(marks) + 1).otherwise(_range_of(key, marks, 0, len(marks)))
+def _nans(marks: list) -> int:
+    return 2 * len(marks) + 1
+
+
+def _nulls(marks: list) -> int:
+    return 2 * len(marks) + 2
+
+
+def rank_histogram(df: DataFrame, key: Column, marks: list, floating: bool = False) -> dict[int, int]:
+    """Rows of every range: below, on and between the marks, above them, NaN, NULL."""
+    number = F.when(key.isNull(), _nulls(marks))
+    if floating:
+        number = number.when(F.isnan(key), _nans(marks))
+    number = number.otherwise(_range_of(key, marks, 0, len(marks)))
     found = df.select(number.alias("range")).groupBy("range").agg(F.count("*").alias("rows")).collect()
     return {r["range"]: r["rows"] for r in found}
 
@@ -82,9 +97,10 @@ def rank_histogram(df: DataFrame, key: Column, marks: list) -> dict[int, int]:
 def _cut(part: Slice, name: str, down: bool) -> Iterator[Slice]:
     """The parts of a slice by ranges of one column, in order."""
     key = col(name)
+    floating = part.df.schema[name].dataType.typeName() in ("double", "float")
     marks = _marks(part.df, key, part.rows)
-    counts = rank_histogram(part.df, key, marks)
-    nulls = 2 * len(marks) + 1
+    counts = rank_histogram(part.df, key, marks, floating)
+    nulls = _nulls(marks)
     order = sorted(counts, key=lambda r: (r == nulls, -r if down else r))  # NULLs are last either way
     skip, take = part.skip, part.take
     for number in order:
@@ -93,9 +109,10 @@ def _cut(part: Slice, name: str, down: bool) -> Iterator[Slice]:
             skip -= rows
             continue
         mine = min(take, rows - skip)
-        # all rows of a mark or of the NULLs agree in this column: the next one decides
+        # all rows of a mark, of NaN or of NULL agree in this column: the next one decides
         agreed = number == nulls or number % 2
-        yield Slice(part.df.filter(_within(key, marks, number)), part.at + bool(agreed), rows, skip, mine)
+        chosen = part.df.filter(_within(key, marks, number, floating))
+        yield Slice(chosen, part.at + bool(agreed), rows, skip, mine)
         skip, take = 0, take - mine
         if not take:
             return

@@ -11,6 +11,7 @@ from ..operators.cleaning import (STAMPED_COLUMNS, add_search_columns, dedupe_ac
                                   distinct_rows, typed)
 from ..operators.headers import HeaderRules, mapping_report
 from ..operators.mapping import map_feed
+from ..operators.rollups import Rollups, key_rollup, party_rollup, sketches
 from ..sources import feeds, writers
 
 
@@ -19,12 +20,13 @@ def build_shipments(spark: SparkSession, source: str, target: str,
                     limit: int | None = None, sample_rows: int = 1000,
                     search_columns: bool = True, multi_line: bool = False,
                     stamped: tuple[str, ...] = STAMPED_COLUMNS,
-                    by_country: bool = True, seconds: dict[str, float] | None = None) -> DataFrame:
+                    by_country: bool = True, rollups: bool = True, seconds: dict[str, float] | None = None) -> DataFrame:
     """Read, map, clean, de-duplicate and write every feed below ``source``.
 
-    Below ``target`` it writes ``shards`` (cleaned rows), ``shipments`` (the table),
-    ``by_direction``, ``sample``, ``mapping_report``, ``summary`` and ``totals``. Each stage reads what
-    the one before has written, so a lost executor costs its own stage's tasks and no
+    Below ``target`` it writes ``shards`` (cleaned rows), ``shipments`` (the table), ``rollup_keys``,
+    ``rollup_parties`` and ``sketches`` (see ``operators/rollups.py``; not with ``rollups=False``),
+    ``directions`` (rows of each; ``writers.read_direction`` reads one), ``sample``,
+    ``mapping_report``, ``summary`` and ``totals``. Each stage reads what the one before has written, so a lost executor costs its own stage's tasks and no
     stage is computed twice. Without ``ports`` (port and country; ``feeds.read_ports`` reads
     a JSON object of them) feeds that state a port only get no destination country; the
     table is a parameter, as it is data of the user. ``seconds`` receives what each stage took.
@@ -66,7 +68,13 @@ def build_shipments(spark: SparkSession, source: str, target: str,
     stage("table")
     shipments = writers.read_table(spark, f"{target}/shipments")
 
-    writers.write_by_direction(shipments, f"{target}/by_direction")
+    if rollups:
+        write_rollups(shipments, target)
+        stage("rollups")
+    keys = spark.read.parquet(f"{target}/rollup_keys") if rollups else None
+    directions = (keys.groupBy("Trade Type").agg(F.sum("shipments").alias("rows")) if rollups
+                  else writers.direction_counts(shipments))
+    directions.write.mode("overwrite").parquet(f"{target}/directions")
     writers.write_sample(shipments.drop("_search", "_pd_search"), f"{target}/sample", sample_rows)
     reduce(DataFrame.unionByName, reports).write.mode("overwrite").parquet(
         f"{target}/mapping_report")
@@ -81,6 +89,18 @@ def build_shipments(spark: SparkSession, source: str, target: str,
     return summary
 
 
+def write_rollups(shipments: DataFrame, target: str) -> None:
+    """The roll-ups of a table beside it."""
+    for name, make in (("rollup_keys", key_rollup), ("rollup_parties", party_rollup), ("sketches", sketches)):
+        writers.write_stage(make(shipments), f"{target}/{name}")
+
+
+def read_rollups(spark: SparkSession, target: str) -> Rollups:
+    """A built table with its roll-ups, to answer questions from."""
+    return Rollups(writers.read_table(spark, f"{target}/shipments"),
+                   *(spark.read.parquet(f"{target}/{n}") for n in ("rollup_keys", "rollup_parties", "sketches")))
+
+
 def _names(spark: SparkSession, paths: list[str]) -> DataFrame:
     """File names of listed paths as a frame."""
     return spark.createDataFrame([(feeds.plain_path(p).rsplit("/", 1)[-1],) for p in paths],

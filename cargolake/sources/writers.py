@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import time
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators.argentina import export_rows
 from ..operators.filters import ShipmentFilter
@@ -11,6 +14,7 @@ from ..schema import SHIPMENT_COLUMNS, col
 
 PARTITION = "Reporting Country"
 BOM = "\ufeff"
+VERSION = "version_"
 
 
 def write_stage(df: DataFrame, path: str) -> None:
@@ -60,19 +64,76 @@ def write_sample(df: DataFrame, path: str, rows: int = 1000) -> None:
 
 
 def write_by_direction(df: DataFrame, path: str) -> None:
-    """Parquet split by trade type."""
+    """Parquet split by trade type, for those who want files of their own."""
     (df.hint("rebalance", col("Trade Type")).write.mode("overwrite").option("compression", "zstd")
      .partitionBy("Trade Type").parquet(path))
 
 
+def read_direction(spark: SparkSession, path: str, trade_type: str) -> DataFrame:
+    """One direction of a written shipments table, without a second copy of it.
+
+    The condition reaches the scan; row groups of one direction alone are skipped by statistics."""
+    return read_table(spark, path).filter(F.col("Trade Type") == trade_type)
+
+
 def direction_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("Trade Type").agg(F.count("*").alias("rows"))
 
 
-def replace_table(df: DataFrame, name: str, path: str | None = None) -> None:
-    """Full replacement of a catalogue table; ``path`` makes it an external one."""
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    (writer.option("path", path) if path else writer).saveAsTable(name)
+def replace_table(df: DataFrame, name: str, path: str | None = None) -> str:
+    """Full replacement of a catalogue table; returns where the new rows lie.
+
+    Every version is a folder of its own below ``path`` (by default one beside the warehouse's
+    tables). The rows are written there first and counted again; only then does the catalogue's
+    location move, so readers see the old rows or the new ones and a write that fails leaves
+    the table as it was. The frame may read the table that it replaces. Versions stay until
+    ``drop_old_versions``, as running readers may still need the last one.
+
+    Other columns than before cannot be given to a table in place: the new version is then made
+    under a passing name and the two are renamed.
+    """
+    spark = df.sparkSession
+    root = path or "/".join((spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), f"{name.split('.')[-1]}_versions"))
+    location = f"{root}/{VERSION}{time.time_ns()}_{uuid.uuid4().hex[:8]}"
+    seen = Observation()
+    (df.observe(seen, F.count(F.lit(1)).alias("rows"))
+     .write.mode("errorifexists").option("compression", "zstd").parquet(location))
+    written = spark.read.schema(df.schema).parquet(location).count()
+    if written != seen.get["rows"]:
+        raise OSError(f"{location} has {written} of {seen.get['rows']} rows; {name} is unchanged")
+    if not spark.catalog.tableExists(name):
+        _external(spark, name, location, df)
+    elif [f.dataType for f in spark.table(name).schema] == [f.dataType for f in df.schema] and spark.table(name).columns == df.columns:
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{location}'")
+    else:
+        passing = f"{name}_{uuid.uuid4().hex[:8]}"
+        _external(spark, passing, location, df)
+        spark.sql(f"ALTER TABLE {name} RENAME TO {passing}_old")
+        spark.sql(f"ALTER TABLE {passing} RENAME TO {name}")
+        spark.sql(f"DROP TABLE {passing}_old")
+    spark.catalog.refreshTable(name)
+    return location
+
+
+def _external(spark: SparkSession, name: str, location: str, df: DataFrame) -> None:
+    spark.catalog.createTable(name, path=location, source="parquet", schema=df.schema)
+
+
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """Folders of the versions below a table's root, oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in files.listStatus(path) if s.isDirectory())
+    return [f"{root}/{n}" for n in names if n.startswith(VERSION)]
+
+
+def drop_old_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Delete all but the latest versions below a root that ``replace_table`` made; returns them."""
+    old = versions(spark, root)[:-keep or None]
+    for location in old:
+        path = spark._jvm.org.apache.hadoop.fs.Path(location)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return old
 
 
 def _with_bom(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargolake.operators.filters import ShipmentFilter
-from cargolake.plans.build import build_shipments
+from cargolake.plans.build import build_shipments, read_rollups
 from cargolake.sources import feeds, writers
 
 
@@ -144,7 +144,9 @@ def test_build(spark, tmp_path):
     assert (peru["Reporting Country"], peru["Destination Country"], peru["Origin Country"]) == (
         "PERU", "UNITED STATES", "PERU")
     assert spark.read.parquet(target + "/mapping_report").filter("strategy = 'ignored'").count() == 2
-    assert {r[0] for r in spark.read.parquet(target + "/by_direction").select("Trade Type").collect()} == {"IMPORT", "EXPORT"}
+    assert {tuple(r) for r in spark.read.parquet(target + "/directions").collect()} == {("IMPORT", 3), ("EXPORT", 1)}
+    assert writers.read_direction(spark, target + "/shipments", "EXPORT").count() == 1
+    assert read_rollups(spark, target).totals(ShipmentFilter(trade_type="IMPORT")).first()["count"] == 3
     assert feeds.read_csv(spark, [target + "/sample"]).count() == 4
     totals = writers.run_totals(spark.read.parquet(target + "/summary")).first()
     assert tuple(totals) == (4, 3, 1, 6, 5)
@@ -161,3 +163,31 @@ def test_replace_table(spark, tmp_path):
         writers.replace_table(spark.range(n), "side", str(tmp_path / "side"))
     assert spark.table("side").count() == 2
     assert spark.table("side").agg(F.max("id")).first()[0] == 1
+
+
+def test_replace_table_keeps_the_old_rows_when_a_write_fails(spark, tmp_path):
+    root = str(tmp_path / "kept")
+    writers.replace_table(spark.range(5), "kept", root)
+    reader = spark.table("kept")
+    broken = spark.range(0, 100, 1, 4).select(F.when(F.col("id") == 90, F.raise_error(F.lit("half-way")).cast("long"))
+                                              .otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="half-way"):
+        writers.replace_table(broken, "kept", root)
+    assert spark.table("kept").count() == reader.count() == 5
+    # from its own rows, twice, while a reader still has the first version
+    for n in (10, 20):
+        writers.replace_table(spark.table("kept").union(spark.range(5)), "kept", root)
+        assert spark.table("kept").count() == n - (5 if n == 20 else 0)
+    assert reader.count() == 5
+    versions = writers.versions(spark, root)
+    assert len(versions) == 4 and writers.drop_old_versions(spark, root, 1) == versions[:-1]
+    assert spark.table("kept").count() == 15 and writers.versions(spark, root) == versions[-1:]
+
+
+def test_replace_table_with_other_columns(spark, tmp_path):
+    root = str(tmp_path / "wider")
+    writers.replace_table(spark.range(5), "wider", root)
+    writers.replace_table(spark.range(4).select("id", F.lit("x").alias("note")), "wider", root)
+    assert spark.table("wider").columns == ["id", "note"] and spark.table("wider").count() == 4
+    writers.replace_table(spark.range(3).select("id", F.lit("y").alias("note")), "wider")
+    assert {tuple(r) for r in spark.table("wider").collect()} == {(0, "y"), (1, "y"), (2, "y")}
