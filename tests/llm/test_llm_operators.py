@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -163,19 +164,24 @@ def test_minhash_without_tables(docs, rows, monkeypatch):
 
 
 # 4
-def test_packing(docs, rows):
+@pytest.mark.parametrize("bucket", [50_000, 20])
+def test_packing(spark, docs, rows, monkeypatch, bucket):
     from tokenizers import Tokenizer
+    monkeypatch.setattr(packing, "BUCKET", bucket)
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+    odd = (930, "ends <|endoftext|> here<|endoftext|>", "en", "a", None, *["clash"] * 8)
+    docs, rows = docs.union(spark.createDataFrame([odd], docs.schema)), [*rows, odd]
     ids = [own.encode(t, add_special_tokens=False).ids + [0] for _, t in plain(rows)]
+    assert ids[-1].count(50256) == 2
     size = 512
-    want = Counter()
+    want, lengths = Counter(), []
     for (d, _), x in zip(plain(rows), ids):
         first = len(x) if len(x) <= size else len(x) % size or size
         cuts = [(0, first)] + [(a, size) for a in range(first, len(x), size)]
         for k, (a, n) in enumerate(cuts):
             want[d, k, a, n, zlib.crc32(np.array(x[a:a + n], "<u4").tobytes())] += 1
+            lengths.append(n)
     got = packing.pack_digests(docs, path, size).collect()
     assert Counter(tuple(r[:5]) for r in got) == want
     by = defaultdict(list)
@@ -185,18 +191,41 @@ def test_packing(docs, rows):
         x.sort()
         assert [o for o, _ in x] == np.cumsum([0, *(n for _, n in x)])[:-1].tolist()
         assert sum(n for _, n in x) <= size
-    total = sum(map(len, ids))
-    assert len(by) <= 1.05 * -(-total // size)
+    # one best-fit over all, whatever the buckets
+    assert len(by) == 1 + max(at for at, _ in packing.best_fit(sorted(lengths, reverse=True), size)) == 1 + max(by)
     full = packing.sequences(packing.pack(docs, path, size)).collect()
-    assert sum(len(r["ids"]) for r in full) == 4 * total
+    assert sum(len(r["ids"]) for r in full) == 4 * sum(map(len, ids))
+    plain_ids = packing.tokenizer(path, True).ids(pa.array([odd[1]]))[0]
+    assert 50256 not in plain_ids.tolist() and bytes(own.decode(plain_ids.tolist()), "utf-8").decode() == odd[1]
+
+
+@pytest.mark.parametrize("seed,size,most", [(1, 100, 100), (2, 64, 9), (3, 512, 512), (4, 2048, 300)])
+def test_runs_are_best_fit_piece_by_piece(seed, size, most):
+    rng = np.random.default_rng(seed)
+    lengths = sorted(rng.integers(1, most + 1, 4000).tolist(), reverse=True)
+    want = packing.best_fit(lengths, size)
+    runs = packing.packed_runs(Counter(lengths), size)
+    room, seen = defaultdict(int), defaultdict(set)
+    for n, first, taken, low, each, offset in runs.tolist():
+        seen[n].update(range(first, first + taken))
+        for k in range(taken):
+            at, inside = divmod(k, each)
+            assert room[low + at] == offset + inside * n
+            room[low + at] += n
+    assert max(room.values()) <= size and {n: len(x) for n, x in seen.items()} == Counter(lengths)
+    used = Counter()
+    for (at, _), n in zip(want, lengths):
+        used[at] += n
+    assert sorted(used.values()) == sorted(room.values())  # the same sequences, filled alike
+    assert len(packing.packed_runs({n: c * 10**9 for n, c in Counter(lengths).items()}, size)) < 40 * most
 
 
 def test_rows_without_identifier_do_not_meet(spark, monkeypatch):
-    from pyspark.sql import functions as F
-    monkeypatch.setattr(packing, "GROUP", 50)
+    monkeypatch.setattr(packing, "BUCKET", 50)
     pieces = spark.createDataFrame([(None, 0, 100, i) for i in range(1000)], "doc_id long, piece int, length int, ids_crc32 long")
-    groups = packing.placed(pieces, 512).groupBy(F.shiftright("sequence_id", 32)).count().collect()
-    assert len(groups) == 20 and max(r["count"] for r in groups) < 150
+    got = packing.placed(pieces, 512).groupBy("sequence_id").count().collect()
+    assert sorted(r["sequence_id"] for r in got) == list(range(200)) and {r["count"] for r in got} == {5}
+    assert {r["_rank"] for r in packing.ranked(pieces).collect()} == set(range(1000))
     monkeypatch.setattr(suffix, "BLOCK_BYTES", 1000)
     seen = []
     monkeypatch.setattr(suffix, "_sends", lambda *a: (_ for _ in ()).throw(StopAsyncIteration))
