@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch
 
-#: Shuffle files of a finished job are removed at once, so steps do not add up on disk.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a step is written: shuffle files of a finished job are removed at once, so steps do not
+#: add up on disk, and batches for Python stay small, however long the texts.
+_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"),
+         "spark.sql.execution.arrow.maxBytesPerBatch": ("64m", "8m")}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,12 +35,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor costs only its own tasks."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    before = {key: spark.conf.get(key, usual) for key, (usual, _) in _STEP.items()}
+    for key, (_, value) in _STEP.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,12 +19,14 @@ import string
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import partitions, stored, text_bytes, texts
+from .common import chunks, partitions, stored, text_bytes, texts
 
 #: Bytes of labels and nodes that a task's trie may hold.
 BUDGET = 48 << 20
 NODE = 300
 TASK_BYTES = 16 << 20
+#: Bytes of a batch's texts that are Python objects at a time.
+SLICE = 2 << 20
 ENTRY = "size int, text_hash long, text binary, low long, high long, rows long"
 OWNER = "text_sha256 string, low long, high long, rows long"
 
@@ -157,11 +159,11 @@ def collapse(make, budget: int):
 
         def merged():
             for b in batches:
-                text, low, high, n = (c.to_pylist() for c in b.columns)
-                for t, a, z, k in zip(text, low, high, n):
-                    trie.add(t, a, z, k)
-                    if trie.held > trie.budget:
-                        yield from trie.spill()
+                for i, j in chunks(b.column(0), SLICE):
+                    for t, a, z, k in zip(*(c.slice(i, j - i).to_pylist() for c in b.columns)):
+                        trie.add(t, a, z, k)
+                        if trie.held > trie.budget:
+                            yield from trie.spill()
             yield from trie.drain()
         yield from batches_of(merged(), make)
     return run

@@ -30,7 +30,7 @@ from .graph import components
 from .shingles import mix, sets
 
 SLOTS, ROWS = 12, 2
-BATCH = 2 << 20
+BATCH = 1 << 20
 LAST = (1 << 63) - 1
 SIGNED = "row long, n_shingles long, set_key binary, keys array<long>"
 

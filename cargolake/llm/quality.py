@@ -267,14 +267,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = MIN_SCORE) -> DataFrame:
-    """The rows whose score is at least ``least``, all their columns."""
-    def run(batches):
-        for b in batches:
-            keep = np.concatenate([np.zeros(0), *(
-                model.score(b.column(1).slice(i, j - i)) for i, j in chunks(b.column(1), BATCH))])
-            where = pa.array(np.flatnonzero(keep >= least))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(where)], ["_row"])
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"),
-                       F.coalesce(docs["text"], F.lit("")).alias("_text"))
-    schema = rows.select("_row").schema
-    return rows.mapInArrow(run, schema).select("_row.*")
+    """The rows whose score is at least ``least``, all their columns; only texts leave the JVM."""
+    def score(text: pa.Array) -> pa.Array:
+        found = [model.score(text.slice(i, j - i)) for i, j in chunks(text, BATCH)]
+        return pa.array(np.concatenate([np.zeros(0), *found]))
+    scored_by = F.arrow_udf(score, "double")
+    return docs.where(scored_by(F.coalesce(docs["text"], F.lit(""))) >= least)
