@@ -34,9 +34,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens, their ids' checksum and their place in a sequence."""
+    """Pieces of at most 2048 tokens, their ids' checksum and their place in a sequence.
+
+    The pieces themselves, with their ids, are written beside: ``packing.sequences`` reads them."""
     import public_tokenizers
-    return packing.pack_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    packed = stored(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")), "packed")
+    return packing.digested(packed)
 
 
 STAGES = [("quality", keep_good), ("exact", drop_copies), ("near", drop_near_copies),
