@@ -9,9 +9,10 @@ has can pair with nothing and go before pairing, which loses no meeting.
 Texts of equal shingle sets are one node, so exact copies cost nothing here. Shingles that one
 node alone has bound the overlap it can have with any other; pairs beyond that bound are never
 made. In each bucket all nodes are held against the one with the least of its own, on full
-shingle sets; in a group of copies that is nearest to what they were copied from. Of what then
-still stands apart in a bucket all cross pairs within the bound are verified. No bucket is
-capped, none is gathered in one task, and no pairs are made within what is already linked.
+shingle sets; in a group of copies that is nearest to what they were copied from. What then still stands
+apart in a bucket is compared by its differences to that middle, and only where two share a rare
+one (see ``apart``). No bucket is capped, none is gathered in one task, and no pairs are made
+within what is already linked.
 
 A text without words has an empty set and is linked with nothing. Null identifiers rank after
 all others; a group of only such has a null component. Repeated rows are one node.
@@ -23,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import chunks, stored, texts
 from .graph import components
@@ -167,19 +168,75 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = stored(_pairs(members.join(middle, "key").where(_fits("m")), "m"), "pairs")
     found = stored(verified(pairs, node_texts), "links")
 
-    # then what still stands apart in a bucket
+    # then what still stands apart in a bucket, by the differences to its middle
     part = components(found)
     placed = stored(members.join(part, "node", "left")
-                    .withColumn("label", F.coalesce("label", "node")), "placed")
-    counts = placed.groupBy("key", "label").count()
-    main = (counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"),
-                                      F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    apart = stored(placed.join(main, "key"), "apart")
-    stray = apart.where("label <> main").select(
-        F.col("key").alias("s_key"), *(F.col(c).alias(f"s_{c}") for c in ("node", "label", "size", "common")))
-    cross = apart.join(stray, (F.col("s_key") == F.col("key")) & (F.col("s_label") != F.col("label")) & _fits("s"))
-    more = stored(verified(_pairs(cross, "s").join(pairs, ["a", "b"], "left_anti"), node_texts), "links")
-    return found.union(more)
+                    .select("key", "node", F.coalesce("label", "node").alias("label")), "placed")
+    mixed = (placed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"))
+             .where("l <> h").select("key"))
+    around = (placed.join(mixed, "key").join(middle.select("key", "m_node"), "key")
+              .select(F.col("m_node").alias("a"), F.col("node").alias("b"), "label").distinct())
+    return found.union(stored(apart(stored(around, "around"), node_texts), "links"))
+
+
+def differences(around: DataFrame, node_texts: DataFrame) -> DataFrame:
+    """(a, b) with both set sizes, how many shingles of a the set of b lacks, and ``diff``: these
+    and those of b that a lacks."""
+    def run(batches):
+        last, left = None, None
+        for batch in batches:
+            for i, j in chunks(batch.column(3), BATCH):
+                a, b = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
+                rows = []
+                for k, (node, right) in enumerate(zip(a.to_pylist(), sets(batch.column(3).slice(i, j - i)))):
+                    if node != last:
+                        last, left = node, sets(batch.column(2).slice(i + k, 1))[0]
+                    lacks = np.setdiff1d(left, right, assume_unique=True)
+                    more = np.setdiff1d(right, left, assume_unique=True)
+                    rows.append((len(left), len(right), len(lacks), np.concatenate((lacks, more)).view(np.int64)))
+                n, m, r, d = zip(*rows)
+                bounds = np.concatenate(([0], np.cumsum([len(x) for x in d]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [a, b, *(pa.array(x, pa.int64()) for x in (n, m, r)),
+                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(d)))],
+                    ["a", "b", "a_size", "size", "lacks", "diff"])
+    left = node_texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
+    right = node_texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
+    return (around.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text")
+            .mapInArrow(run, "a long, b long, a_size long, size long, lacks long, diff array<long>"))
+
+
+def apart(around: DataFrame, node_texts: DataFrame) -> DataFrame:
+    """Links between nodes of differing labels that met one middle; around: (a, b, label), a the middle.
+
+    With R the shingles of the middle M that a node lacks and A those it has beside M's, two nodes
+    share |M| - |R1| - |R2| + |R1 & R2| + |A1 & A2|, so their likeness follows from the small sets
+    D = R + A alone. Of two nodes of differing labels one is not similar to M, and then the other
+    shares more than (4 |R| + 3 |A|) / 7 of its own D with it. So it shares one of the rarest of D,
+    all but that many less one: only nodes that meet in such an element are compared, exactly, and
+    unrelated edits of one text never meet. Elements that one node alone has meet nobody.
+    """
+    each = stored(around.join(differences(around, node_texts), ["a", "b"])
+                  .where(F.col("a") != F.col("b")), "differences")
+    size, lacks, total = F.col("size"), F.col("lacks"), F.size("diff")
+    shares = F.floor((4 * lacks + 3 * (total - lacks)) / 7) + 1
+    elements = each.select("a", "b", F.explode("diff").alias("element"))
+    counted = elements.groupBy("a", "element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = stored(elements.join(counted, ["a", "element"]), "elements")
+    of_node = W.partitionBy("a", "b")
+    known = each.select("a", "b", "label", "a_size", "size", "lacks", "diff", (total - shares + 1).alias("first"),
+                        total.alias("of"))
+    placed = (own.withColumn("place", F.row_number().over(of_node.orderBy("n", "element")))
+              .withColumn("alone", -F.count(F.lit(1)).over(of_node))
+              .join(known, ["a", "b"]).where(F.col("place") + F.col("of") + F.col("alone") <= F.col("first")))
+    near = placed.select(*(F.col(c).alias(f"n_{c}") for c in ("a", "element", "b", "label", "size", "lacks", "diff")))
+    not_similar = 7 * (F.col("a_size") - F.col("lacks")) < 3 * (F.col("size") + F.col("a_size"))
+    far = own.join(known.where(not_similar), ["a", "b"]).select("a", "element", "b", "label", "a_size", "size", "lacks", "diff")
+    both = F.col("a_size") - F.col("lacks") - F.col("n_lacks") + F.size(F.array_intersect("diff", "n_diff"))
+    linked = ((F.col("n_a") == F.col("a")) & (F.col("n_element") == F.col("element")) & (F.col("n_label") != F.col("label"))
+              & (100 * F.least("size", "n_size") >= 75 * F.greatest("size", "n_size"))
+              & (7 * both >= 3 * (F.col("size") + F.col("n_size"))))
+    return far.join(near, linked).select(F.least("b", "n_b").alias("a"), F.greatest("b", "n_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -53,6 +55,25 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix(h + (end - start).astype(np.uint64) * _WORDS[0])
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each word: the bytes of a word of up to 16 go through the finaliser as two
+    numbers, longer words through keyed BLAKE2b; no polynomial, so no words collide by design."""
+    size = ends - starts
+    padded = np.concatenate((raw, np.zeros(16, np.uint8)))
+    eight = np.ndarray((len(raw) + 9,), "<u8", padded, strides=(1,))
+
+    def part(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        n = np.clip(n, 0, 8)
+        keep = np.where(n == 8, ~np.uint64(0), (np.uint64(1) << (8 * n).astype(np.uint64)) - np.uint64(1))
+        return eight[np.minimum(at, len(raw))] & keep
+    out = mix(part(starts + 8, size - 8) ^ _WORDS[8] + size.astype(np.uint64))
+    out = mix((out ^ part(starts, size)) + _WORDS[9])
+    for k in np.flatnonzero(size > 16).tolist():
+        digest = hashlib.blake2b(raw[starts[k]:ends[k]].tobytes(), digest_size=8, key=b"words")
+        out[k] = int.from_bytes(digest.digest(), "little")
+    return out
+
+
 def sets(column: pa.Array, size: int = 5) -> list[np.ndarray]:
     """Sorted distinct shingles of every text; a shorter text is one shingle, one without words none."""
     raw, bounds = packed(column)
@@ -66,7 +87,7 @@ def sets(column: pa.Array, size: int = 5) -> list[np.ndarray]:
     starts = np.flatnonzero(word & (~before | edge[:-1]))
     after = np.concatenate((word[1:], [False]))
     ends = np.flatnonzero(word & (~after | edge[1:])) + 1
-    words = span_hashes(prefix_hashes(raw), starts, ends)
+    words = word_hashes(raw, starts, ends)
     firsts = np.searchsorted(starts, bounds)
     rolled = np.zeros(max(0, len(words) - size + 1), np.uint64)
     for k in range(size):

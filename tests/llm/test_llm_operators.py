@@ -12,6 +12,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from cargolake.llm import bpe, exact, lines, merkle, minhash, packing, quality, secrets, sharding, suffix  # noqa: E402
+from cargolake.llm.shingles import sets, word_hashes  # noqa: E402
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 BLANKS = " \t\n\x0b\x0c\r"
@@ -163,6 +164,70 @@ def test_minhash_without_tables(docs, rows, monkeypatch):
     same(minhash.near_duplicates(docs).drop("text_row"), brute_near(plain(rows)))
 
 
+@pytest.mark.parametrize("words,copies,edits,vocabulary", [(150, 70, 7, 8), (60, 50, 3, 3), (90, 60, 5, 400)])
+def test_minhash_of_edited_copies_without_their_source(spark, words, copies, edits, vocabulary):
+    """Copies that lie just within or beyond the likeness of one another and of every middle."""
+    import random
+    rng = random.Random(words)
+    source = [f"w{i}" for i in range(words)]
+    rows = []
+    for i in range(copies):
+        text = list(source)
+        for _ in range(rng.randint(1, edits)):
+            at = rng.randrange(len(text))
+            if rng.random() < .2:
+                del text[at]
+            else:
+                text[at] = f"e{rng.randrange(vocabulary)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_near(rows)
+    assert 1 < len({w[2] for w in want}) < copies
+    same(minhash.near_duplicates(docs).drop("text_row"), want)
+
+
+def test_apart_links_by_differences_alone(spark):
+    """All that differ in label and are similar, given any middle that both are compared with."""
+    import random
+    rng = random.Random(8)
+    source = [f"w{i}" for i in range(80)]
+    texts = {}
+    for i in range(60):
+        texts[i] = list(source)
+        for at in rng.sample(range(80), 2 if i == 0 else rng.randint(0, 4)):
+            texts[i][at] = f"e{rng.randrange(6)}"
+    own = {i: shingle_set(" ".join(t)) for i, t in texts.items()}
+
+    def alike(i, j):
+        both = len(own[i] & own[j])
+        return 100 * both >= 75 * (len(own[i]) + len(own[j]) - both)
+    label = {i: 0 if alike(0, i) else i for i in texts}
+    want = {(i, j) for i in texts for j in texts if i < j and label[i] != label[j] and alike(i, j) and i > 0}
+    around = spark.createDataFrame([(0, i, x) for i, x in label.items()], "a long, b long, label long")
+    node_texts = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "node long, text string")
+    got = [tuple(r) for r in minhash.apart(around, node_texts).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_shingles_of_words_that_a_polynomial_confuses():
+    morse = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    one, two = sets(pa.array([f"w1 w2 w3 w4 {morse}", f"w1 w2 w3 w4 {other}"]))
+    assert len(one) == len(two) == 1 and one[0] != two[0]
+
+
+def test_word_hashes_tell_words_apart():
+    words = sorted({"".join("ab\u00e9z"[(i >> (2 * k)) & 3] for k in range(i % 11 + 1)) + "x" * (i % 23) for i in range(40_000)})
+    line = " ".join(words).encode()
+    raw = np.frombuffer(line, np.uint8)
+    ends = np.flatnonzero(np.append(raw, 0x20) == 0x20)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    found = word_hashes(raw, starts, ends)
+    assert len(set(found.tolist())) == len(words)
+    again = word_hashes(np.frombuffer(b"  " + line, np.uint8), starts + 2, ends + 2)
+    assert (found == again).all()
+
+
 # 4
 @pytest.mark.parametrize("bucket", [50_000, 20])
 def test_packing(spark, docs, rows, monkeypatch, bucket):
