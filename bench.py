@@ -17,11 +17,11 @@ from datetime import date
 
 from cargolake.catalog.feeds import write_named
 from cargolake.catalog.views import Views
-from cargolake.operators import advanced, analytics, argentina, entities
+from cargolake.operators import advanced, analytics, argentina, entities, name_index
 from cargolake.operators.filters import ShipmentFilter
 from cargolake.operators.paging import list_shipments
 from cargolake.operators.predicates import Condition, Group, apply_tree
-from cargolake.plans.build import build_shipments
+from cargolake.plans.build import build_shipments, read_rollups
 from cargolake.session import local_session
 from cargolake.sources.writers import export_shipments, read_table
 
@@ -51,6 +51,10 @@ def main() -> None:
         return table.limit(0)
 
     entity_counts = entities.entity_counts(table, "Importer").cache()
+    stored = read_rollups(spark, f"{work}/out")
+    index = name_index.similar_index(entity_counts).cached()
+    rotations = name_index.rotations(entities.entity_counts(table, "Supplier")).cache()
+    rotations.count()
     queries = {
         "search_stored": lambda: list_shipments(table, ShipmentFilter(q="brand#1", use_search_column=True)),
         "search_six_columns": lambda: list_shipments(table, ShipmentFilter(q="brand#1")),
@@ -73,7 +77,13 @@ def main() -> None:
         "suggest": lambda: entities.suggest(table, "Supplier", "supplier#00000"),
         "similar_cold": lambda: entities.similar(entities.entity_counts(table, "Importer"), "custmer#000000042"),
         "similar_warm": lambda: entities.similar(entity_counts, "custmer#000000042"),
+        "suggest_rotations": lambda: name_index.suggest(rotations, "supplier#00000"),
+        "similar_grams": lambda: name_index.similar(index, "custmer#000000042"),
         "dataset_stats": lambda: analytics.dataset_stats(table),
+        "top_importers_rollup": lambda: stored.top_parties(ShipmentFilter(), "Importer"),
+        "monthly_trend_rollup": lambda: stored.monthly(ShipmentFilter()),
+        "dataset_stats_sketch": lambda: stored.dataset_stats(ShipmentFilter()),
+        "page_10000": lambda: list_shipments(table, ShipmentFilter(page=10_000)),
         "ledger_page": lambda: argentina.list_rows(ledger, "cif_total_usd", number=3),
         "export_100k": export,
     }
