@@ -30,16 +30,16 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
                        F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write a step into the shared scratch folder and read it back: cuts lineage, and a lost
-    executor costs only its own tasks."""
+    executor costs only its own tasks. ``codec`` of the files, where the session's will not do."""
     spark = df.sparkSession
     path = scratch(spark, name)
     before = {key: spark.conf.get(key, usual) for key, (usual, _) in _STEP.items()}
     for key, (_, value) in _STEP.items():
         spark.conf.set(key, value)
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)

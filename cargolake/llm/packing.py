@@ -30,6 +30,8 @@ from .common import chunks, parts, stored, texts
 from .pretokens import PieceEncoder
 
 BATCH = 2 << 20
+#: Of files that hold ids; half of their bytes are zero.
+CODEC = "zstd"
 #: Pieces of one length and bucket; their rank is counted in one task.
 BUCKET = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -217,7 +219,7 @@ def placed(pieces: DataFrame, size: int = 2048) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, size: int = 2048) -> DataFrame:
     """Every piece with its ids, its sequence and its offset there."""
-    return placed(stored(tokenised(docs, path, size), "pieces"), size)
+    return placed(stored(tokenised(docs, path, size), "pieces", CODEC), size)
 
 
 def pack_digests(docs: DataFrame, path: str, size: int = 2048) -> DataFrame:
