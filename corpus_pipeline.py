@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The pieces themselves, with their ids, are written beside: ``packing.sequences`` reads them."""
     import public_tokenizers
-    packed = stored(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")), "packed")
+    packed = stored(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")), "packed", packing.CODEC)
     return packing.digested(packed)
 
 
