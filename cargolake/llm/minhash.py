@@ -213,8 +213,8 @@ def apart(around: DataFrame, node_texts: DataFrame) -> DataFrame:
     share |M| - |R1| - |R2| + |R1 & R2| + |A1 & A2|, so their likeness follows from the small sets
     D = R + A alone. Of two nodes of differing labels one is not similar to M, and then the other
     shares more than (4 |R| + 3 |A|) / 7 of its own D with it. So it shares one of the rarest of D,
-    all but that many less one: only nodes that meet in such an element are compared, exactly, and
-    unrelated edits of one text never meet. Elements that one node alone has meet nobody.
+    all but that many less one: only nodes that meet in such an element, with enough of both left
+    after it, are compared, exactly. Elements that one node alone has meet nobody.
     """
     each = stored(around.join(differences(around, node_texts), ["a", "b"])
                   .where(F.col("a") != F.col("b")), "differences")
@@ -222,21 +222,28 @@ def apart(around: DataFrame, node_texts: DataFrame) -> DataFrame:
     shares = F.floor((4 * lacks + 3 * (total - lacks)) / 7) + 1
     elements = each.select("a", "b", F.explode("diff").alias("element"))
     counted = elements.groupBy("a", "element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = stored(elements.join(counted, ["a", "element"]), "elements")
     of_node = W.partitionBy("a", "b")
-    known = each.select("a", "b", "label", "a_size", "size", "lacks", "diff", (total - shares + 1).alias("first"),
-                        total.alias("of"))
-    placed = (own.withColumn("place", F.row_number().over(of_node.orderBy("n", "element")))
-              .withColumn("alone", -F.count(F.lit(1)).over(of_node))
-              .join(known, ["a", "b"]).where(F.col("place") + F.col("of") + F.col("alone") <= F.col("first")))
-    near = placed.select(*(F.col(c).alias(f"n_{c}") for c in ("a", "element", "b", "label", "size", "lacks", "diff")))
-    not_similar = 7 * (F.col("a_size") - F.col("lacks")) < 3 * (F.col("size") + F.col("a_size"))
-    far = own.join(known.where(not_similar), ["a", "b"]).select("a", "element", "b", "label", "a_size", "size", "lacks", "diff")
-    both = F.col("a_size") - F.col("lacks") - F.col("n_lacks") + F.size(F.array_intersect("diff", "n_diff"))
-    linked = ((F.col("n_a") == F.col("a")) & (F.col("n_element") == F.col("element")) & (F.col("n_label") != F.col("label"))
-              & (100 * F.least("size", "n_size") >= 75 * F.greatest("size", "n_size"))
-              & (7 * both >= 3 * (F.col("size") + F.col("n_size"))))
-    return far.join(near, linked).select(F.least("b", "n_b").alias("a"), F.greatest("b", "n_b").alias("b")).distinct()
+    # in order of rarity; left: how many of the node's come after, those of itself alone before all
+    own = stored(elements.join(counted, ["a", "element"])
+                 .withColumn("left", F.count(F.lit(1)).over(of_node) - F.row_number().over(of_node.orderBy("n", "element")))
+                 .select("a", "b", "element", "left"), "elements")
+    plain = each.select("a", "b", "label", "a_size", "size", "lacks", shares.alias("shares"))
+    placed = stored(own.join(plain, ["a", "b"]), "placed")
+    near = (placed.where(F.col("left") + 1 >= F.col("shares"))
+            .select(*(F.col(c).alias(f"n_{c}") for c in ("a", "element", "b", "label", "size", "lacks", "left"))))
+    far = placed.where(7 * (F.col("a_size") - lacks) < 3 * (size + F.col("a_size")))
+    # what they have to share for 7 times the overlap to reach 3 times both sizes; in the first
+    # element that two share neither may have too few left
+    needs = F.ceil(3 * (size + F.col("n_size")) / 7) - F.col("a_size") + lacks + F.col("n_lacks")
+    meet = ((F.col("n_a") == F.col("a")) & (F.col("n_element") == F.col("element")) & (F.col("n_label") != F.col("label"))
+            & (100 * F.least("size", "n_size") >= 75 * F.greatest("size", "n_size"))
+            & (F.least("left", "n_left") + 1 >= needs))
+    pairs = stored(far.join(near, meet).select("a", "b", "n_b", needs.alias("needs")).distinct(), "candidates")
+    lists = own.groupBy("a", "b").agg(F.collect_list("element").alias("d"))
+    both = (pairs.join(lists, ["a", "b"])
+            .join(lists.select("a", F.col("b").alias("n_b"), F.col("d").alias("n_d")), ["a", "n_b"])
+            .where(F.size(F.array_intersect("d", "n_d")) >= F.col("needs")))
+    return both.select(F.least("b", "n_b").alias("a"), F.greatest("b", "n_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
