@@ -37,7 +37,7 @@ from .shingles import mix, prefix_hashes, span_hashes
 MATCH, GRAM = 50, 24
 REACH = MATCH - GRAM  # how far before its anchor a match can start
 BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20
-PIECE = 1 << 20
+PIECE = 1 << 16  # its arrays of numbers stay in the cache, and memory is used again instead of mapped anew
 MARGIN = 4 * MATCH
 LAST = (1 << 63) - 1
 NOWHERE = ~np.uint64(0)

@@ -103,6 +103,21 @@ def test_suffix_long_texts_in_pieces(monkeypatch):
     assert found(1 << 20) == found(600)
 
 
+def test_suffix_anchors_need_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(chr, rng.integers(97, 123, 4000))) for _ in range(1000)]
+    b = suffix.Block(pa.table({"doc_id": pa.array(range(1000), pa.int64()), "text": texts}))
+    tracemalloc.start()
+    try:
+        b.anchors()
+        assert tracemalloc.get_traced_memory()[1] < 8 * len(b.raw)
+    finally:
+        tracemalloc.stop()
+
+
 def test_index_family():
     rng = np.random.default_rng(3)
     family, want = suffix.Family(np.minimum), {}
