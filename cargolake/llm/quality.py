@@ -182,14 +182,14 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * self.quality(*line_features(column)) + self.shift)))
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> tuple[float, float]:
     """Slope (not negative) and shift of a logistic curve, by damped Newton steps."""
     slope, shift = 1.0, 0.0
     design = np.column_stack((x, np.ones_like(x)))
     for _ in range(50):
         p = 1 / (1 + np.exp(-(slope * x + shift)))
-        g = design.T @ (y - p) - np.array([1e-2 * slope, 0])
-        h = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+        g = design.T @ (weight * (y - p)) - np.array([1e-2 * slope, 0])
+        h = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
         slope, shift = np.array([slope, shift]) + np.clip(np.linalg.solve(h, g), -1, 1)
     return max(slope, 0.05), shift
 
