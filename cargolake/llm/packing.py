@@ -99,6 +99,7 @@ def tokenised(docs: DataFrame, path: str, size: int = 2048, end: int = 0, plain:
                     pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                     pa.array(length, pa.int64()), pa.array(data, pa.binary())],
                     ["doc_id", "piece", "start", "length", "ids"])
+        pa.default_memory_pool().release_unused()  # the worker lives on through later steps
     return texts(docs).mapInArrow(run, PIECES)
 
 

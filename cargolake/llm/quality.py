@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import chunks, lengths, packed, stored, texts
 from .shingles import prefix_hashes, span_hashes
 
-BATCH = 2 << 20
+#: Bytes of text whose lines get features together; they take some forty times as much.
+BATCH = 512 << 10
 SAMPLE = 4_000
 FIT_LINES = 1_600_000
 MIN_SCORE = 0.3
@@ -270,6 +271,7 @@ def accepted(docs: DataFrame, model: Model, least: float = MIN_SCORE) -> DataFra
     """The rows whose score is at least ``least``, all their columns; only texts leave the JVM."""
     def score(text: pa.Array) -> pa.Array:
         found = [model.score(text.slice(i, j - i)) for i, j in chunks(text, BATCH)]
+        pa.default_memory_pool().release_unused()  # the worker lives on through later steps
         return pa.array(np.concatenate([np.zeros(0), *found]))
     scored_by = F.arrow_udf(score, "double")
     return docs.where(scored_by(F.coalesce(docs["text"], F.lit(""))) >= least)

@@ -720,5 +720,6 @@ def masked(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
             scanned = Scanned(plain.slice(i, j - i))
             new += [masked_text(t, [(s[0], s[2]) for s in spans], mark) if spans else t
                     for t, spans in zip(scanned.texts, scanned.judged(network))]
+        pa.default_memory_pool().release_unused()  # the worker lives on through later steps
         return pa.array([t if ok else None for ok, t in zip(text.is_valid().to_pylist(), new)], pa.string())
     return docs.withColumn("text", F.arrow_udf(replaced, "string")(docs["text"]))

@@ -720,3 +720,24 @@ def test_pipeline(spark, docs, labels, rows, tmp_path):
         assert step.columns == docs.columns
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(r["doc_id"] for r in clean.collect())
+
+
+def test_quality_stage_batches(spark, tmp_path, monkeypatch):
+    """Written by the caller, the stage still sends Python no more than 8 MB and scores 512 KB at once."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    class Spy:
+        def score(self, column):
+            size = sum(len(x) for x in column.to_pylist())
+            return np.full(len(column), float(column.buffers()[2].size <= 9 << 20 and size <= 512 << 10))
+    monkeypatch.setattr(quality, "train", lambda docs, labels: Spy())
+    docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        assert corpus_pipeline.keep_good(spark, docs, str(tmp_path)).count() == 4000
+    finally:
+        spark.conf.unset(key)
