@@ -1,12 +1,14 @@
 """What keeps the build and its neighbours within time and disk on large tables."""
 from pyspark.sql import functions as F
 
+from cargolake import catalog
+from cargolake.catalog.views import Views
 from cargolake.functions.text import clean_text, strip
 from cargolake.operators import cleaning
 from cargolake.plans.build import build_shipments
 from cargolake.session import METHOD_LIMIT, compiled
 from cargolake.sources import writers
-from support import plan
+from support import DATA, plan
 
 
 def test_feeds_are_not_shuffled_by_their_ports(spark, tmp_path, monkeypatch):
@@ -48,3 +50,17 @@ def test_steps_run_compiled_code(spark, tmp_path, monkeypatch):
     with compiled(spark):
         assert spark.conf.get(METHOD_LIMIT) == "8000"
     assert spark.conf.get(METHOD_LIMIT) == before
+
+
+def test_sinks_that_shuffle_whole_rows_do_not_hold_the_joins(spark):
+    """The shuffle files of the joins are gone before the whole rows are sent."""
+    for name in ("snk_run_summary",):
+        made = catalog.queries()[name](spark, DATA)
+        assert "l_orderkey" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stored_repeats_are_the_view(spark):
+    v = Views(spark, DATA)
+    stored, view = v.stored_repeated(), v["repeated"]
+    assert stored.dtypes == view.dtypes
+    assert stored.exceptAll(view).count() == view.exceptAll(stored).count() == 0
