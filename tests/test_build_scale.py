@@ -54,9 +54,20 @@ def test_steps_run_compiled_code(spark, tmp_path, monkeypatch):
 
 def test_sinks_that_shuffle_whole_rows_do_not_hold_the_joins(spark):
     """The shuffle files of the joins are gone before the whole rows are sent."""
-    for name in ("snk_run_summary",):
-        made = catalog.queries()[name](spark, DATA)
-        assert "l_orderkey" not in made._jdf.queryExecution().optimizedPlan().toString()
+    made = catalog.queries()["snk_run_summary"](spark, DATA)
+    assert "l_orderkey" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merged_rows_are_a_stage_before_their_layout(spark, monkeypatch):
+    """Neither the joins' shuffle files nor those of the de-duplication add to the layout's."""
+    plans = []
+
+    def watched(df, path, *more, write=writers.write_shards):
+        plans.append(plan(df))
+        write(df, path, *more)
+    monkeypatch.setattr(writers, "write_shards", watched)
+    catalog.queries()["snk_merged_parquet"](spark, DATA)
+    assert len(plans) == 1 and not any(word in plans[0] for word in ("Join", "Exchange", "Window"))
 
 
 def test_stored_repeats_are_the_view(spark):
