@@ -1,7 +1,11 @@
 """What keeps the build and its neighbours within time and disk on large tables."""
+import gzip
+import zlib
+
 from pyspark.sql import functions as F
 
 from cargolake import catalog
+from cargolake.catalog.feeds import write_named
 from cargolake.catalog.views import Views
 from cargolake.functions.text import clean_text, strip
 from cargolake.operators import cleaning
@@ -75,3 +79,15 @@ def test_stored_repeats_are_the_view(spark):
     stored, view = v.stored_repeated(), v["repeated"]
     assert stored.dtypes == view.dtypes
     assert stored.exceptAll(view).count() == view.exceptAll(stored).count() == 0
+
+
+def test_feeds_are_packed_for_speed(spark, tmp_path):
+    """Their size is that of the fastest level, and the rows come back."""
+    rows = spark.range(0, 20_000, 1, 1).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("a"), F.concat(F.lit("Customer "), F.col("id") % 977).alias("b"),
+        F.lit("29 import.csv").alias("file_name"))
+    write_named(rows, str(tmp_path / "feeds"), str(tmp_path / "work"))
+    (packed,) = (tmp_path / "feeds").rglob("*.csv.gz")
+    text = gzip.decompress(packed.read_bytes())
+    size, fast, usual = packed.stat().st_size, len(zlib.compress(text, 1)), len(zlib.compress(text, 6))
+    assert abs(size - fast) < abs(size - usual) and text.count(b"\n") == 20_001
